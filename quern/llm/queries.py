@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from quern.llm import bpe
+from quern.llm import bpe, chat, packing, simhash
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op2_chat": chat.op2_chat,
+    "op4_simhash": simhash.op4_simhash,
+    "op8_packing": packing.op8_packing,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op2_chat": chat.SQL}
