@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quern.llm import bpe, chat, packing, simhash
+from quern.llm import bpe, chat, packing, simhash, urls
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_chat": chat.op2_chat,
+    "op3_urls": urls.op3_urls,
     "op4_simhash": simhash.op4_simhash,
     "op8_packing": packing.op8_packing,
 }
