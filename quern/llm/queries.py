@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from quern.llm import bpe, chat, packing, simhash, urls
+from quern.llm import bpe, chat, packing, simhash, topk, toxicity, urls
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_chat": chat.op2_chat,
     "op3_urls": urls.op3_urls,
     "op4_simhash": simhash.op4_simhash,
+    "op5_toxicity": toxicity.op5_toxicity,
+    "op6_topk": topk.op6_topk,
     "op8_packing": packing.op8_packing,
 }
 
-SQL: dict[str, str] = {"op2_chat": chat.SQL}
+SQL: dict[str, str] = {"op2_chat": chat.SQL, "op6_topk": topk.SQL}
