@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm import bpe, chat, packing, simhash, topk, toxicity, urls
+from quern.llm import bpe, chat, packing, simhash, substrings, topk, toxicity, urls
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_simhash": simhash.op4_simhash,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_topk": topk.op6_topk,
+    "op7_substrings": substrings.op7_substrings,
     "op8_packing": packing.op8_packing,
 }
 
