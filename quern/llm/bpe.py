@@ -20,15 +20,16 @@ unread (name the key columns to keep); repeated rows are encoded alike; an empty
 from __future__ import annotations
 
 import base64
-import heapq
 import re
+from array import array
+from heapq import heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of ids or text in one output batch, words a worker remembers, longest word it remembers.
-BATCH_BYTES, CACHE_WORDS, CACHE_CHARS = 4 << 20, 500_000, 64
+BATCH_BYTES, CACHE_WORDS, CACHE_CHARS = 4 << 20, 250_000, 64
 #: A space between two characters that are no white space: pre-tokens never span the place before it.
 _ODD_SPACE = re.compile(r"^ |\s | \s| $")
 
@@ -39,65 +40,27 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-class RankQueue:
-    """Positions in buckets by rank; ``pop`` gives the leftmost live position of the lowest rank.
+class Encoder:
+    """Ranks, a pre-token pattern, the rank queue's bitmap and a bounded cache of words already encoded.
 
-    Level 0 has a bit for each rank, in words of 64 bits; level 1 a bit for each word of level 0 that is
-    not empty, in words too; level 2, one int, a bit for each word of level 1.
+    Bitmap: level 0 has a bit for each rank, in words of 64 bits; level 1 a bit for each word of level 0 that is not
+    empty, in words too; level 2, one int, a bit for each word of level 1.  A queue that has run empty leaves all
+    levels empty, so one bitmap serves every pre-token.
     """
 
-    def __init__(self, n_ranks: int):
-        n0 = (n_ranks >> 6) + 1
-        self.l0, self.l1, self.l2 = [0] * n0, [0] * ((n0 >> 6) + 1), 0
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heapq.heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        w = rank >> 6
-        if not self.l0[w]:
-            if not self.l1[w >> 6]:
-                self.l2 |= 1 << (w >> 6)
-            self.l1[w >> 6] |= 1 << (w & 63)
-        self.l0[w] |= 1 << (rank & 63)
-
-    def pop(self, pair: list[int]) -> int:
-        """-1 at the end. ``pair``: the rank each position has now; entries of another rank are stale."""
-        while self.l2:
-            i = (self.l2 & -self.l2).bit_length() - 1
-            x = self.l1[i]
-            w = (i << 6) | ((x & -x).bit_length() - 1)
-            y = self.l0[w]
-            rank = (w << 6) | ((y & -y).bit_length() - 1)
-            bucket = self.buckets[rank]
-            position = heapq.heappop(bucket)
-            if not bucket:
-                del self.buckets[rank]
-                self.l0[w] = y = y & (y - 1)
-                if not y:
-                    self.l1[i] = x = x & (x - 1)
-                    if not x:
-                        self.l2 &= self.l2 - 1
-            if pair[position] == rank:
-                return position
-        return -1
-
-
-class Encoder:
-    """Ranks, a pre-token pattern and a bounded cache of words already encoded."""
-
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
 
         self.ranks = ranks
-        self.queue = RankQueue(max(ranks.values(), default=0) + 1)
+        n0 = (max(ranks.values(), default=0) >> 6) + 1
+        self.l0, self.l1 = [0] * n0, [0] * ((n0 >> 6) + 1)
         self.find = regex.compile(pattern).findall
-        self.cache: dict[str, bytes] = {}
-        #: Ids of the 1-byte symbols that merging starts with.
-        self.single = [ranks.get(bytes([b])) for b in range(256)]
+        #: Rank of each pair of bytes, by the first and the second; -1 if they don't merge.
+        self.first = [[ranks.get(bytes((a, b)), -1) for b in range(256)] for a in range(256)]
+        #: Ids by word (the space before it left out) and by pre-token: what is young, and what was until it was full.
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
@@ -105,62 +68,107 @@ class Encoder:
         whole = ranks.get(piece)
         if whole is not None:
             return [whole]
-        n = len(piece)
+        n, get, l0, l1, l2 = len(piece), ranks.get, self.l0, self.l1, 0
+        first = self.first
         end = list(range(1, n + 1))  # of the symbol that starts here
         prev = list(range(-1, n - 1))
-        pair = [-1] * n  # rank of the pair that starts here, -1 if none or if no symbol starts here
-        push, pop, get = self.queue.push, self.queue.pop, ranks.get
-        for i in range(n - 1):
-            r = get(piece[i : i + 2])
-            if r is not None:
-                pair[i] = r
-                push(r, i)
-        while (i := pop(pair)) >= 0:
+        pair = [first[a][b] for a, b in zip(piece, piece[1:])]  # rank of the pair that starts here, or -1
+        pair.append(-1)
+        buckets: dict[int, list[int]] = {}
+        for i, r in enumerate(pair):
+            if r >= 0:
+                if r in buckets:
+                    buckets[r].append(i)
+                else:
+                    buckets[r] = [i]
+                    w = r >> 6
+                    l0[w] |= 1 << (r & 63)
+                    l1[w >> 6] |= 1 << (w & 63)
+                    l2 |= 1 << (w >> 6)
+        while l2:
+            v = (l2 & -l2).bit_length() - 1  # find first set, level by level
+            x = l1[v]
+            w = (v << 6) | ((x & -x).bit_length() - 1)
+            y = l0[w]
+            r = (w << 6) | ((y & -y).bit_length() - 1)
+            bucket = buckets[r]
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket[0]
+                del buckets[r]
+                l0[w] = y = y & (y - 1)
+                if not y:
+                    l1[v] = x = x & (x - 1)
+                    if not x:
+                        l2 &= l2 - 1
+            if pair[i] != r:
+                continue  # stale
             j = end[i]
-            k = end[j]
-            end[i] = k
+            k = end[i] = end[j]
             pair[i] = pair[j] = -1
             if k < n:
                 prev[k] = i
-                r = get(piece[i : end[k]])
-                if r is not None:
-                    pair[i] = r
-                    push(r, i)
+                new = get(piece[i : end[k]], -1)
+            else:
+                new = -1
             h = prev[i]
-            if h >= 0:
-                r = get(piece[h:k])
-                if r is None:
-                    pair[h] = -1
-                elif pair[h] != r:
-                    pair[h] = r
-                    push(r, h)
+            for at, r in ((i, new), (h, get(piece[h:k], -1))) if h >= 0 else ((i, new),):
+                if r != pair[at]:
+                    pair[at] = r
+                    if r >= 0:
+                        if r in buckets:
+                            heappush(buckets[r], at)
+                        else:
+                            buckets[r] = [at]
+                            w = r >> 6
+                            l0[w] |= 1 << (r & 63)
+                            l1[w >> 6] |= 1 << (w & 63)
+                            l2 |= 1 << (w >> 6)
         out, i = [], 0
         while i < n:
             out.append(ranks[piece[i : end[i]]])
             i = end[i]
         return out
 
-    def word(self, text: str) -> bytes:
+    def whole(self, text: str) -> bytes:
         """Ids of a stretch of text that no pre-token leaves, as little-endian unsigned 32-bit integers."""
-        ids: list[int] = []
+        parts, known = [], self.pieces
         for piece in self.find(text):
-            ids += self.merge(piece.encode("utf-8", "surrogatepass"))
-        out = b"".join([i.to_bytes(4, "little") for i in ids])
-        if len(text) <= CACHE_CHARS:
-            if len(self.cache) >= CACHE_WORDS:
-                self.cache.clear()
-            self.cache[text] = out
-        return out
+            ids = known.get(piece)
+            if ids is None:
+                ids = array("I", self.merge(piece.encode("utf-8", "surrogatepass"))).tobytes()
+                if len(piece) <= CACHE_CHARS:
+                    if len(known) >= CACHE_WORDS:
+                        known.clear()
+                    known[piece] = ids
+            parts.append(ids)
+        return b"".join(parts)
+
+    def word(self, word: str) -> bytes:
+        """Ids of a word that isn't young, with the space before it."""
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.whole(" " + word)
+        if len(word) <= CACHE_CHARS:
+            if len(self.young) >= CACHE_WORDS:
+                self.old, self.young = self.young, {}
+            self.young[word] = ids
+        return ids
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
         if _ODD_SPACE.search(text):
-            return self.word(text)
-        known, word = self.cache.get, self.word
+            return self.whole(text)
         first, *rest = text.split(" ")
-        parts = [known(first) or word(first)]
-        parts += [known(w) or word(w) for w in map(" ".__add__, rest)]
+        parts, known, word = [self.whole(first)], self.young, self.word
+        for w in rest:
+            ids = known.get(w)
+            if ids is None:
+                ids = word(w)
+                known = self.young
+            parts.append(ids)
         return b"".join(parts)
 
 
@@ -221,13 +229,12 @@ def decode(df: DataFrame, keys: list[str], ids: str, ranks_path: str) -> DataFra
         raw = df.sparkSession.sparkContext.broadcast(f.read())
 
     def make():
-        import array
         import sys
 
         tokens = {int(b): base64.b64decode(a) for a, b in (x.split() for x in raw.value.splitlines() if x.strip())}
 
         def back(blob):
-            codes = array.array("I", blob or b"")
+            codes = array("I", blob or b"")
             if sys.byteorder == "big":
                 codes.byteswap()
             return b"".join(map(tokens.__getitem__, codes))
