@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm import bpe, chat, embeddings, packing, simhash, substrings, topk, toxicity, urls
+from quern.llm import bpe, chat, embeddings, html, packing, simhash, substrings, topk, toxicity, urls
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_topk": topk.op6_topk,
     "op7_substrings": substrings.op7_substrings,
     "op8_packing": packing.op8_packing,
+    "op9_html": html.op9_html,
     "op10_embeddings": embeddings.op10_embeddings,
 }
 
