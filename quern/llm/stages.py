@@ -1,21 +1,47 @@
-"""The stages of the corpus pipeline."""
+"""The stages of the corpus pipeline: each takes (spark, docs, sf_dir) and returns what it keeps of ``docs``.
+
+All but the last return the columns of documents.  Rows are kept or dropped as a whole; substring dedup shortens
+texts and sets ``n_chars`` anew.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quern.llm import packing as packs
+from quern.llm import simhash, substrings
+from quern.llm import toxicity as toxic
+from quern.llm.common import shrink
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Documents whose score is below the threshold; learnt from the labelled rows among ``docs`` that are not held out."""
+    model = toxic.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxic.scored(docs, model, docs.columns).where(F.col("score") < toxic.THRESHOLD).select(*docs.columns)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The document of the smallest id of every class of near fingerprints; rows without an id stay.
+
+    Rows that share an id share its fate, and where they stay one of them does.
+    """
+    classes = simhash.near_classes(docs, "doc_id", "text")
+    gone = classes.where(F.col("doc_id") != F.col("component")).select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti")
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null")).select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Every document without the passages that one of a smaller id holds; texts that lose nothing stay as they are."""
+    text = F.when(F.col("__removed") > 0, F.col("__kept")).otherwise(F.col("text"))
+    out = substrings.dedup(docs).withColumn("text", text)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The pieces of all documents, as of ``op8_packing``."""
+    shrink(spark)
+    return packs.packed(docs)
