@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quern.tables import run_sql
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -24,3 +27,8 @@ def operator(key: str, oracle: str | None = None) -> Callable[[Query], Query]:
         return f
 
     return add
+
+
+def sql_operator(key: str, text: str, oracle: str | None = None) -> None:
+    """Register Spark SQL (tables in braces); without ``oracle`` the same text is the oracle's."""
+    operator(key, oracle or re.sub(r"\{(\w+)\}", r"\1", text))(lambda spark, sf_dir: run_sql(spark, sf_dir, text))
