@@ -18,9 +18,9 @@ strings of special tokens inside a text are ordinary text; other columns are lef
 
 from __future__ import annotations
 
+import base64
 import itertools
-import os
-import re
+from array import array
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,53 +29,28 @@ from pyspark.sql import functions as F
 from quern.llm.common import shared_table, shrink
 
 WINDOW, END_ID = 2048, 1
-BATCH_BYTES, CACHE_WORDS, CACHE_CHARS = 4 << 20, 500_000, 64
-#: A space beside white space or at an end: elsewhere a pre-token never spans the place before a space.
-_ODD_SPACE = re.compile(r"^ |\s | \s| $")
+BATCH_BYTES = 4 << 20
 
-class WordCoder:
-    """A tokenizer of the tokenizers library behind a bounded cache of words.
 
-    A byte-level vocabulary cuts a text into pre-tokens, and a single space between two characters that are no white
-    space always begins one; so the ids of a text are those of its words, each with the space before it.
-    """
-
-    def __init__(self, text: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(text)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+#: The worker's encoding, by vocabulary.
+_CODERS: dict[int, object] = {}
 
-    def batch(self, words: list[str]) -> list[bytes]:
-        import array
 
-        return [array.array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+def _encoding(raw: bytes, pattern: str):
+    import tiktoken
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [None if _ODD_SPACE.search(t) else t.split(" ") for t in texts]
-        words = [[w[0], *map(" ".__add__, w[1:])] if w else None for w in split]
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        new = list({w for ws in words if ws for w in ws} - self.known.keys())
-        here = dict(zip(new, self.batch(new), strict=True))
-        self.known.update((w, x) for w, x in here.items() if len(w) <= CACHE_CHARS)
-        whole = iter(self.batch([t for t, ws in zip(texts, words, strict=True) if ws is None]))
-        known = self.known.get
-        return [next(whole) if ws is None else b"".join([known(w) or here.get(w, b"") for w in ws]) for ws in words]
+    ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in raw.splitlines() if x.strip())}
+    return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-#: The worker's coder, by vocabulary.
-_CODERS: dict[int, WordCoder] = {}
+def tokenized(df: DataFrame, key: str, text: str, ranks_path: str, pattern: str, end_id: int | None = END_ID) -> DataFrame:
+    """A shared table (key, part int, before long, n long, ids binary) of every row's ids and the end id.
 
-
-def tokenized(df: DataFrame, key: str, text: str, tokenizer_path: str, end_id: int | None = END_ID) -> DataFrame:
-    """A shared table (key, part int, before long, n long, ids binary) of every row's ids and the end id."""
+    ``ranks_path`` holds a byte-level vocabulary as ranks, which gives the ids of the same vocabulary's tokenizer file.
+    """
     from pyspark import TaskContext
 
-    with open(tokenizer_path, encoding="utf-8") as f:
+    with open(ranks_path, "rb") as f:
         raw = df.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary, some MB whatever the data
     end = b"" if end_id is None else end_id.to_bytes(4, "little")
     kind = df.schema[key].dataType.simpleString()
@@ -84,8 +59,8 @@ def tokenized(df: DataFrame, key: str, text: str, tokenizer_path: str, end_id: i
         mark = hash(raw.value)
         if mark not in _CODERS:
             _CODERS.clear()
-            _CODERS[mark] = WordCoder(raw.value)
-        coder, part, before = _CODERS[mark], TaskContext.get().partitionId(), 0
+            _CODERS[mark] = _encoding(raw.value, pattern)
+        encode, part, before = _CODERS[mark].encode_ordinary, TaskContext.get().partitionId(), 0
         for batch in batches:
             start = 0
             while start < batch.num_rows:
@@ -93,7 +68,7 @@ def tokenized(df: DataFrame, key: str, text: str, tokenizer_path: str, end_id: i
                 while start + len(texts) < batch.num_rows and size < BATCH_BYTES:
                     texts.append(batch.column(1)[start + len(texts)].as_py() or "")
                     size += len(texts[-1])
-                ids = [x + end for x in coder.encode(texts)]
+                ids = [array("I", encode(x)).tobytes() + end for x in texts]
                 n = [len(x) // 4 for x in ids]
                 sums = [before, *(before + x for x in itertools.accumulate(n))]
                 before = sums.pop()
@@ -145,7 +120,7 @@ def packed(docs: DataFrame) -> DataFrame:
     """Pieces of every document, with digests in place of the ids."""
     import public_tokenizers
 
-    table = tokenized(docs, "doc_id", "text", public_tokenizers.path("byte_bpe_50k.json"))
+    table = tokenized(docs, "doc_id", "text", public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     shrink(docs.sparkSession)
     return pack(table, "doc_id").select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
