@@ -121,24 +121,41 @@ def _verify(batches):
         yield links(key, fp)
 
 
-def _variants(value, bits: int, tag):
-    """Keys of ``value`` (a column below 2^bits) with each bit masked in turn; ``tag`` tells segments apart."""
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(bits - 1)),
-        lambda p: tag * F.lit(1 << 40) + p.cast("long") * F.lit(1 << 33) + value.bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(1).cast("long"), p))),
-    )
+def _bit(p):
+    return F.call_function("shiftleft", F.lit(1).cast("long"), p)
+
+
+def _variant(value, p, tag):
+    """The key of ``value`` (a column of at most 32 bits) with bit ``p`` masked; ``tag`` tells segments apart."""
+    return tag * F.lit(1 << 40) + p.cast("long") * F.lit(1 << 33) + value.bitwiseAND(F.bitwise_not(_bit(p)))
+
+
+def _each(bits: int, f):
+    return F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), f)
 
 
 def near_links(distinct: DataFrame, hot: int = HOT) -> DataFrame:
     """``distinct`` (fp long, no value twice) -> (u, v): enough links for the classes of near fingerprints."""
     low, high = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32)
-    segments = distinct.select("fp", F.explode(F.array(F.struct(F.lit(0).cast("long").alias("s"), low.alias("x"), high.alias("y")), F.struct(F.lit(1).cast("long").alias("s"), high.alias("x"), low.alias("y")))).alias("g")).select("fp", "g.*")
-    common = segments.groupBy("s", "x").count().where(F.col("count") > hot).select(F.explode(_variants(F.col("x"), 32, F.col("s"))).alias("key"))
-    index = segments.select("fp", "y", F.explode(_variants(F.col("x"), 32, F.col("s"))).alias("key"))
-    index = index.join(common.distinct().withColumn("hot", F.lit(True)), "key", "left")
-    half = lambda i: F.shiftrightunsigned(F.col("y"), 16 * i).bitwiseAND(F.lit(0xFFFF))
-    second = F.transform(F.concat(*[_variants(half(i), 16, F.lit(i).cast("long")) for i in (0, 1)]), lambda x: F.xxhash64(F.col("key"), x))
-    keyed = index.select(F.explode(F.when(F.col("hot"), second).otherwise(F.array("key"))).alias("key"), "fp")
+    two = [F.struct(F.lit(i).cast("long").alias("s"), x.alias("x"), y.alias("y")) for i, (x, y) in enumerate(((low, high), (high, low)))]
+    segments = distinct.select("fp", F.explode(F.array(*two)).alias("g")).select("fp", "g.*")
+    # bit p of "split": the group under the variant with bit p masked holds a common segment value
+    common = segments.groupBy("s", "x").count().where(F.col("count") > hot)
+    every = F.struct("x", F.lit(0xFFFFFFFF).alias("split"))
+    beside = _each(32, lambda p: F.struct(F.col("x").bitwiseXOR(_bit(p)).alias("x"), _bit(p).alias("split")))
+    common = common.select("s", F.explode(F.concat(F.array(every), beside)).alias("g")).groupBy("s", "g.x").agg(F.bit_or("g.split").alias("split"))
+    segments = segments.join(common, ["s", "x"], "left").na.fill(0, ["split"])
+
+    def finer(key, half, tag):
+        return lambda q: F.xxhash64(key, _variant(half, q, tag))
+
+    def keys(p):
+        key = _variant(F.col("x"), p, F.col("s"))
+        halves = [F.shiftrightunsigned(F.col("y"), 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in (0, 1)]
+        second = F.concat(*[_each(16, finer(key, h, F.lit(i).cast("long"))) for i, h in enumerate(halves)])
+        return F.when(F.col("split").bitwiseAND(_bit(p)) != 0, second).otherwise(F.array(key))
+
+    keyed = segments.select(F.explode(F.flatten(_each(32, keys))).alias("key"), "fp")
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_verify, "u long, v long")
 
 
