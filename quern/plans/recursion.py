@@ -2,24 +2,46 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 
+#: Rounds between two cuts of the lineage.
+CUT = 10
+
+
+def reliable(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed in the folder that spark.checkpoint.dir names (a temporary one where it is unset)."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints"))
+    return df.checkpoint()
+
 
 def fixpoint(anchor: DataFrame, step: Callable[[DataFrame], DataFrame], distinct: bool = False, limit: int = 1_000_000) -> DataFrame:
     """Anchor, then ``step`` of the last round's rows until a round is empty.
 
-    Each round is cached so that it is computed once; with ``distinct`` rows that were seen before end a branch.
+    Each round is cached until the next cut, where what was found since the last one is checkpointed, so neither plans nor
+    recomputation grow with the rounds; with ``distinct`` rows that were seen before end a branch.
     """
-    seen = working = anchor.distinct() if distinct else anchor
-    for _ in range(limit):
+    working = anchor.distinct() if distinct else anchor
+    done, recent = [], [working]
+    for n in range(1, limit + 1):
         following = step(working)
         if distinct:
-            following = following.subtract(seen).cache()
-        else:
-            following = following.cache()
+            following = following.subtract(reduce(DataFrame.unionAll, [*done, *recent]))
+        following = following.cache()
         if following.isEmpty():
             break
-        seen, working = seen.unionAll(following), following
-    return seen
+        recent.append(following)
+        working = following
+        if n % CUT == 0:
+            working = reliable(following)
+            done.append(reliable(reduce(DataFrame.unionAll, recent)))
+            for df in recent:
+                df.unpersist()
+            recent = []
+    return reduce(DataFrame.unionAll, [*done, *recent])
