@@ -6,17 +6,24 @@ than a part of it.  A document is factored greedily against all blocks: from a w
 holds, the factor goes on while the next window is in the reference too; at a factor's end the parse looks up the next
 window anew, and so on.  Factors of at least 13 words are duplicate spans; their words go.
 
-Most windows occur once, and a block index of all of them would shuffle many times the corpus.  So each window first
-gets an anchor, the 5-gram in it with the least hash.  It depends on the window alone, so equal windows have equal
-anchors; about one word in five is an anchor.  Only windows whose anchor occurs in two documents or more can
-repeat, and only those become reference entries.  Nothing is sampled: a window that repeats is always found.
+Most windows occur once, and a block index of all of them would shuffle many times the corpus.  So each window has an
+anchor, the least hash of the 5-grams in it, and consecutive windows of one anchor are a phrase.  Anchors depend on the
+window alone, so equal windows have equal anchors; there are about five windows in a phrase.
 
-Hashes: words and windows have 64 bits each, and a window counts as known only with its anchor's 64 bits too.
+1. Phrases meet by anchor, in one shuffle.  A phrase that a smaller document holds is known with all its windows.  Only
+   an anchor's different phrases, each at its first occurrence, are left to compare window by window.
+2. The windows of those meet by their hash, and the least document of each is its reference entry.
+3. Documents are factored against both.
 
-Skew: anchors and windows are pre-aggregated to their least document before the shuffle, so a passage in a third of all
-documents is one row a task; the lookups are equi-joins, which adaptive execution splits at hot keys.
+Nothing is sampled: a window that repeats is in a known phrase, or its first occurrence in both documents' phrases is
+compared in step 2.  Words have 64-bit hashes, windows, anchors and phrases too; a window counts as known only within
+its anchor.
 
-Defined results: null text has no words; null ids are never smaller or larger than another, so such rows stay whole; rows that share
+Skew: phrases that repeat inside a batch of documents are settled there and bypass the shuffle's keys, so a passage in
+a third of all documents sends a row a batch to its block.  Windows are pre-aggregated, and their lookup is an equi-join,
+which adaptive execution splits at hot keys.
+
+Defined results: null text has no words; ids are integers; null ids are never smaller or larger than another, so such rows stay whole; rows that share
 an id are judged each and never against each other; other columns pass through; an empty table gives no rows.
 """
 
@@ -28,8 +35,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
+from quern.llm.common import shared_table, shrink
+
 WINDOW, ANCHOR = 13, 5
-BATCH_ROWS = 20_000
+#: Rows of an output batch; phrases that are settled against each other before the shuffle.
+BATCH_ROWS, PHRASES_AT_ONCE = 20_000, 500_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -81,53 +91,115 @@ def factors(known: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _rows(batch, name: str, each):
-    """Record batches (name long, key) of ``each(i)``, the unsigned values of row i."""
-    found, rows, size = [], [], 0
-    for i in range(batch.num_rows):
-        values = each(i)
-        found.append(values)
-        rows.append(np.full(len(values), i, np.int64))
-        size += len(values)
-        if size > BATCH_ROWS or i == batch.num_rows - 1:
-            keys = batch.column(0).take(pa.array(np.concatenate(rows)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), keys], names=[name, "key"])
-            found, rows, size = [], [], 0
+def phrases(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Windows, the number of the phrase of each, and of each phrase its anchor and its hash."""
+    found, anchors = windows(words)
+    if not len(found):
+        return found, np.empty(0, np.int64), found, found
+    new = np.concatenate(([True], anchors[1:] != anchors[:-1]))
+    start = np.flatnonzero(new)
+    total = np.add.reduceat(_mix(found * _P), start)  # wraps; equal phrases have equal windows
+    return found, np.cumsum(new) - 1, anchors[start], _mix(total ^ anchors[start])
 
 
-def _anchors(batches):
-    """(key, text bytes) -> (anchor, key), each anchor of a document once."""
-    for batch in batches:
-        texts = batch.column(1)
-        yield from _rows(batch, "anchor", lambda i: np.unique(windows((texts[i].as_py() or b"").split())[1]))  # noqa: B023
+#: Kinds of rows: a phrase still to be settled, one that a smaller document holds, one to compare window by window.
+OPEN, KNOWN, COMPARE = 0, 1, 2
 
 
-def _candidates(batches):
-    """(key, text bytes, shared anchors or null) -> (window, key), each window with a shared anchor once a document."""
-    none = np.empty(0, np.uint64)
-
+def _phrases(batches):
+    """(key, text bytes) -> (block, phrase, key, kind): each phrase of a document once."""
     for batch in batches:
-        texts, anchors = batch.column(1), batch.column(2)
-
-        def of(i):
-            if not anchors[i].is_valid or not texts[i].is_valid:  # noqa: B023
-                return none
-            w, a = windows(texts[i].as_py().split())  # noqa: B023
-            return np.unique(w[np.isin(a, anchors[i].values.to_numpy().view(np.uint64))])  # noqa: B023
+        keys = batch.column(0).to_numpy(zero_copy_only=False)
+        start = 0
+        while start < batch.num_rows:
+            anchors, hashes, rows, size, i = [], [], [], 0, start
+            while i < batch.num_rows and size < PHRASES_AT_ONCE:
+                _, _, a, h = phrases((batch.column(1)[i].as_py() or b"").split())
+                h, at = np.unique(h, return_index=True)
+                anchors.append(a[at])
+                hashes.append(h)
+                rows.append(np.full(len(h), i, np.int64))
+                size += len(h)
+                i += 1
+            start = i
+            anchor, phrase, key = np.concatenate(anchors), np.concatenate(hashes), keys[np.concatenate(rows)].astype(np.int64)
+            order = np.lexsort((key, phrase))
+            anchor, phrase, key = anchor[order], phrase[order], key[order]
+            if not len(key):
+                continue
+            new = np.concatenate(([True], phrase[1:] != phrase[:-1]))
+            known = key > key[np.flatnonzero(new)][np.cumsum(new) - 1]
+            keep = new | known
+            block = np.where(known, _mix(key.view(np.uint64) * _P), anchor)  # what is settled goes anywhere, evenly
+            kind = np.where(known, KNOWN, OPEN).astype(np.int8)
+            yield pa.RecordBatch.from_arrays([pa.array(block[keep].view(np.int64)), pa.array(phrase[keep].view(np.int64)), pa.array(key[keep]), pa.array(kind[keep])], names=["block", "phrase", "key", "kind"])
+
+
+def _settle(batches):
+    """Rows of ``_phrases`` sorted by kind, block, phrase and key -> (key, phrase, kind) of those known or to compare."""
+    left = None
+
+    def settled(block, phrase, key):
+        new_phrase = np.concatenate(([True], (phrase[1:] != phrase[:-1]) | (block[1:] != block[:-1])))
+        new_block = np.concatenate(([True], block[1:] != block[:-1]))
+        first = np.flatnonzero(new_phrase)
+        known = key > key[first][np.cumsum(new_phrase) - 1]
+        per_block = np.add.reduceat(new_phrase, np.flatnonzero(new_block), dtype=np.int64)
+        compare = new_phrase & (per_block > 1)[np.cumsum(new_block) - 1]
+        take = known | compare
+        kind = np.where(known, KNOWN, COMPARE).astype(np.int8)
+        return pa.RecordBatch.from_arrays([pa.array(key[take]), pa.array(phrase[take]), pa.array(kind[take])], names=["key", "phrase", "kind"])
 
-        yield from _rows(batch, "window", of)
-
-
-def known_windows(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, windows array<long>): the windows of each document that start in one with a smaller key."""
-    kind = docs.schema[key].dataType.simpleString()
-    source = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text"))
-    anchors = source.where("key is not null").mapInArrow(_anchors, f"anchor long, key {kind}")
-    shared = anchors.groupBy("anchor").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a < b").select("anchor")
-    wanted = anchors.join(shared, "anchor", "left_semi").groupBy("key").agg(F.collect_list("anchor").alias("anchors"))
-    found = source.join(wanted, "key", "left").select("key", "text", "anchors").mapInArrow(_candidates, f"window long, key {kind}")
+    for batch in batches:
+        block, phrase, key, kind = (batch.column(i).to_numpy() for i in range(4))
+        done = kind == KNOWN
+        if done.any():
+            yield pa.RecordBatch.from_arrays([pa.array(key[done]), pa.array(phrase[done]), pa.array(kind[done])], names=["key", "phrase", "kind"])
+            block, phrase, key = block[~done], phrase[~done], key[~done]
+        if left is not None:
+            block, phrase, key = (np.concatenate(x) for x in zip(left, (block, phrase, key), strict=True))
+        if not len(block):
+            continue
+        last = int(np.searchsorted(block, block[-1]))  # the last block may go on
+        if last:
+            yield settled(block[:last], phrase[:last], key[:last])
+        left = block[last:], phrase[last:], key[last:]
+    if left is not None and len(left[0]):
+        yield settled(*left)
+
+
+def _windows(batches):
+    """(key, text bytes, phrases to compare or null) -> (window, key): each window of those phrases once a document."""
+    for batch in batches:
+        found, rows, size = [], [], 0
+        for i in range(batch.num_rows):
+            wanted = batch.column(2)[i]
+            if wanted.is_valid and len(wanted) and batch.column(1)[i].is_valid:
+                w, number, _, h = phrases(batch.column(1)[i].as_py().split())
+                values = np.unique(w[np.isin(h, wanted.values.to_numpy().view(np.uint64))[number]])
+                found.append(values)
+                rows.append(np.full(len(values), i, np.int64))
+                size += len(values)
+            if found and (size > BATCH_ROWS or i == batch.num_rows - 1):
+                keys = batch.column(0).take(pa.array(np.concatenate(rows)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), keys], names=["window", "key"])
+                found, rows, size = [], [], 0
+
+
+def known_parts(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(key, phrases, compare) and (key, windows): of each document the phrases and, of the rest, the windows of a smaller one."""
+    source = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("binary").alias("text"))
+    rows = source.where("key is not null").mapInArrow(_phrases, "block long, phrase long, key long, kind byte")
+    rows = rows.repartition("block").sortWithinPartitions("kind", "block", "phrase", "key").mapInArrow(_settle, "key long, phrase long, kind byte")
+    rows = shared_table(rows, "phrases")
+    shrink(docs.sparkSession)
+    of = lambda kind: F.collect_list(F.when(F.col("kind") == kind, F.col("phrase")))
+    parts = rows.groupBy("key").agg(of(KNOWN).alias("phrases"), of(COMPARE).alias("compare"))
+    found = source.join(parts, "key", "left").select("key", "text", "compare").mapInArrow(_windows, "window long, key long")
+    found = shared_table(found, "windows")
+    shrink(docs.sparkSession)
     first = found.groupBy("window").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").select("window", "first")
-    return found.join(first, "window").where("first < key").groupBy("key").agg(F.collect_list("window").alias("windows"))
+    return parts.select("key", "phrases"), found.join(first, "window").where("first < key").groupBy("key").agg(F.collect_list("window").alias("windows"))
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -141,7 +213,17 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     span = StructType([StructField("start", IntegerType()), StructField("length", IntegerType())])
     want = StructType([*docs.schema.fields, StructField("__words", LongType()), StructField("__removed", LongType()), StructField("__spans", ArrayType(span)), StructField("__kept", StringType())])
     column, n = docs.columns.index(text), len(docs.columns)
-    known = known_windows(docs, key, text).select(F.col("key").alias("__key"), F.col("windows").alias("__known"))
+    whole, single = known_parts(docs, key, text)
+    known = whole.join(single, "key", "full").select(F.col("key").alias("__key"), F.col("phrases").alias("__phrases"), F.col("windows").alias("__windows"))
+
+    def factored(words, known_phrases, known_windows):
+        found, number, _, hashes = phrases(words)
+        hit = np.zeros(len(found), bool)
+        if known_phrases.is_valid and len(known_phrases):
+            hit |= np.isin(hashes, known_phrases.values.to_numpy().view(np.uint64))[number]
+        if known_windows.is_valid and len(known_windows):
+            hit |= np.isin(found, known_windows.values.to_numpy().view(np.uint64))
+        return factors(hit)
 
     def run(batches):
         schema = to_arrow_schema(want)
@@ -151,8 +233,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
                 start, size, counts, removed, spans, kept = at, 0, [], [], [], []
                 while at < batch.num_rows and size < 4 << 20:
                     words = (batch.column(column)[at].as_py() or "").encode().split()
-                    hits = batch.column(n)[at]
-                    found = factors(np.isin(windows(words)[0], hits.values.to_numpy().view(np.uint64))) if hits.is_valid else []
+                    some = batch.column(n)[at], batch.column(n + 1)[at]
+                    found = factored(words, *some) if any(x.is_valid and len(x) for x in some) else []
                     gone = np.zeros(len(words), bool)
                     for a, length in found:
                         gone[a : a + length] = True
@@ -168,7 +250,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
                 made = [pa.array(x, schema.field(n + i).type) for i, x in enumerate((counts, removed, spans, kept))]
                 yield pa.RecordBatch.from_arrays([*columns, *made], schema=schema)
 
-    joined = docs.join(known, F.col(key) == F.col("__key"), "left").select(*docs.columns, "__known")
+    joined = docs.join(known, F.col(key).cast("long") == F.col("__key"), "left").select(*docs.columns, "__phrases", "__windows")
     return joined.mapInArrow(run, want)
 
 
