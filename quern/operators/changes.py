@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quern.dialect import complete, to_spark
 from quern.registry import operator
 from quern.sources import catalog
+from quern.sources.series import series
 from quern.store import ConstraintError, ForeignKey, Store
 from quern.tables import load
 
@@ -248,6 +249,65 @@ def ddl_alter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s["area"]
 
 
+@operator("ddl_create_index", "SELECT 'nation' AS tbl, 'by_name' AS name, 'n_name' AS columns, 1 AS is_unique UNION ALL SELECT 'nation', 'by_region', 'n_regionkey,n_name', 0")
+def ddl_create_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _store(spark, sf_dir, "nation")
+    s.create_index("by_name", "nation", ["n_name"], unique=True)
+    s.create_index("by_region", "nation", ["n_regionkey", "n_name"])
+    return s.index_list()
+
+
+@operator("ddl_drop_index", "SELECT count(*) * 2 AS n FROM nation")
+def ddl_drop_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without its unique index a table takes copies."""
+    s = _store(spark, sf_dir, "nation")
+    s.create_index("by_name", "nation", ["n_name"], unique=True)
+    s.drop_index("by_name")
+    s.insert("nation", s["nation"])
+    return s["nation"].agg(F.count("*").alias("n"))
+
+
+@operator("ddl_create_virtual", "SELECT CAST(range AS BIGINT) AS value FROM range(3, 30, 3)")
+def ddl_create_virtual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = Store(spark)
+    s.create("numbers", series(spark, 3, 30, 3))
+    return s["numbers"]
+
+
+@operator("pragma_foreign_key_list", "SELECT 'nation' AS tbl, 'region' AS parent, 'n_regionkey' AS col, 'r_regionkey' AS parent_col, 'cascade' AS on_delete")
+def pragma_foreign_key_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _family(spark, sf_dir, "cascade").foreign_key_list()
+
+
+@operator("pragma_database_list", "SELECT 0 AS seq, 'main' AS name UNION ALL SELECT 1, 'aux'")
+def pragma_database_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _store(spark, sf_dir, "region")
+    s.create("aux.region", load(spark, sf_dir, "region"))
+    return s.database_list()
+
+
+@operator("detach", "SELECT 0 AS seq, 'main' AS name")
+def detach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _store(spark, sf_dir, "region")
+    s.create("aux.region", load(spark, sf_dir, "region"))
+    s.detach("aux")
+    return s.database_list()
+
+
+@operator("hooks", "SELECT 2 AS updates, 1 AS commits, 1 AS rollbacks")
+def hooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, seen = _store(spark, sf_dir, "region"), {"update": 0, "commit": 0, "rollback": 0}
+    for event in seen:
+        s.hook(event, lambda *_, event=event: seen.__setitem__(event, seen[event] + 1))
+    s.begin()
+    s.delete("region", "r_regionkey = 0")
+    s.commit()
+    s.begin()
+    s.update("region", {"r_name": "'x'"})
+    s.rollback()
+    return spark.range(1).select(*[F.lit(seen[k]).alias(n) for k, n in (("update", "updates"), ("commit", "commits"), ("rollback", "rollbacks"))])
+
+
 @operator("analyze", "SELECT 'nation' AS tbl, count(*) AS stat FROM nation UNION ALL SELECT 'region', count(*) FROM region")
 def analyze(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _store(spark, sf_dir, "nation", "region")

@@ -54,6 +54,9 @@ class Store:
         self.tables: dict[str, Table] = {}
         self.triggers: list[tuple[str, str, str, str, Callable[[Store], None]]] = []
         self.stack: list[tuple[str | None, dict[str, Table]]] = []
+        #: Name -> (table, columns, unique): metadata alone, as scans are pruned by Parquet statistics.
+        self.indexes: dict[str, tuple[str, tuple[str, ...], bool]] = {}
+        self.hooks: dict[str, list[Callable]] = {"commit": [], "rollback": [], "update": []}
         self.changes = self.total_changes = 0
 
     # -- reading and schema ---------------------------------------------------------------
@@ -93,6 +96,45 @@ class Store:
             raise ConstraintError(f"cannot drop primary key column {column}")
         self.tables[name] = replace(t, df=t.df.drop(column))
 
+    def create_index(self, name: str, table: str, columns: list[str], unique: bool = False, if_not_exists: bool = False) -> None:
+        """A unique index is a constraint; another one is a note."""
+        if name in self.indexes:
+            if if_not_exists:
+                return
+            raise ValueError(f"index {name} already exists")
+        if unique:
+            t = self.tables[table]
+            t = replace(t, unique=(*t.unique, tuple(columns)))
+            self._check(table, t)
+            self.tables[table] = t
+        self.indexes[name] = (table, tuple(columns), unique)
+
+    def drop_index(self, name: str, if_exists: bool = False) -> None:
+        if name not in self.indexes:
+            if if_exists:
+                return
+            raise ValueError(f"no such index: {name}")
+        table, columns, unique = self.indexes.pop(name)
+        if unique and table in self.tables:
+            t = self.tables[table]
+            self.tables[table] = replace(t, unique=tuple(u for u in t.unique if u != columns))
+
+    def hook(self, event: str, body: Callable) -> None:
+        """``body(store)`` on commit or rollback, ``body(store, table)`` after an insert, update or delete."""
+        self.hooks[event].append(body)
+
+    def index_list(self) -> DataFrame:
+        rows = [(t, n, ",".join(c), int(u)) for n, (t, c, u) in self.indexes.items()]
+        return self.spark.createDataFrame(rows, "tbl string, name string, columns string, is_unique int")
+
+    def foreign_key_list(self) -> DataFrame:
+        rows = [(n, fk.parent, a, b, fk.on_delete) for n, t in self.tables.items() for fk in t.foreign for a, b in zip(fk.columns, fk.parent_columns, strict=True)]
+        return self.spark.createDataFrame(rows, "tbl string, parent string, col string, parent_col string, on_delete string")
+
+    def database_list(self) -> DataFrame:
+        names = ["main", *sorted({n.split(".")[0] for n in self.tables if "." in n})]
+        return self.spark.createDataFrame(list(enumerate(names)), "seq int, name string")
+
     # -- data changes ---------------------------------------------------------------------
 
     def insert(self, name: str, rows: DataFrame, conflict: str = "abort") -> DataFrame:
@@ -164,6 +206,8 @@ class Store:
         if not self.stack:
             raise ValueError("no transaction is active")
         self.stack.clear()
+        for body in self.hooks["commit"]:
+            body(self)
 
     def rollback(self, to: str | None = None) -> None:
         """The whole transaction, or to a savepoint, which stays."""
@@ -172,6 +216,8 @@ class Store:
                 raise ValueError("no transaction is active")
             self.tables = self.stack[0][1]
             self.stack.clear()
+            for body in self.hooks["rollback"]:
+                body(self)
             return
         at = self._savepoint(to)
         self.tables = dict(self.stack[at][1])
@@ -202,6 +248,9 @@ class Store:
         for _, w, e, t, body in list(self.triggers):
             if (w, e, t) == (when, event, table):
                 body(self)
+        if when == "after":
+            for body in self.hooks["update"]:
+                body(self, table)
 
     def _swap(self, name: str, table: Table, touched: DataFrame | None = None) -> None:
         self._check(name, table, touched)
