@@ -53,8 +53,9 @@ def grams(text: Column) -> Column:
     plain = F.translate(F.translate(text, ASCII_UPPER, ASCII_LOWER), "123456789", "0" * 9)
     chars = F.filter(F.split(plain, ""), lambda c: c != "")
     codes = F.transform(chars, lambda c: F.when(F.instr(F.lit(SYMBOLS), c) > 0, F.instr(F.lit(SYMBOLS), c)).otherwise(BASE - 1))
-    padded = F.concat(F.array(F.lit(0), F.lit(0)), codes)
-    return F.transform(codes, lambda c, i: (F.get(padded, i) * BASE + F.get(padded, i + 1)) * BASE + c)
+    # arrays are zipped, as a lambda would build the shifted array anew for every character
+    before = F.zip_with(F.concat(F.array(F.lit(0), F.lit(0)), codes), F.concat(F.array(F.lit(0)), codes), lambda a, b: (a * BASE + b) * BASE)
+    return F.filter(F.zip_with(before, codes, lambda ab, c: ab + c), lambda g: g.isNotNull())
 
 
 def train(labelled: DataFrame) -> str:
