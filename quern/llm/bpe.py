@@ -24,12 +24,15 @@ import re
 from array import array
 from heapq import heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of ids or text in one output batch, words a worker remembers, longest word it remembers.
-BATCH_BYTES, CACHE_WORDS, CACHE_CHARS = 4 << 20, 250_000, 64
+BATCH_BYTES, CACHE_WORDS, CACHE_CHARS = 6 << 20, 250_000, 64
+#: Pre-tokens that one rank queue merges; the hash table of pairs.
+MERGED_AT_ONCE, _SLOT_BITS, _SPREAD = 200_000, 21, np.uint64(0x9E3779B97F4A7C15)
 #: A space between two characters that are no white space: pre-tokens never span the place before it.
 _ODD_SPACE = re.compile(r"^ |\s | \s| $")
 
@@ -57,10 +60,10 @@ class Encoder:
         self.find = regex.compile(pattern).findall
         #: Rank of each pair of bytes, by the first and the second; -1 if they don't merge.
         self.first = [[ranks.get(bytes((a, b)), -1) for b in range(256)] for a in range(256)]
-        #: Ids by word (the space before it left out) and by pre-token: what is young, and what was until it was full.
+        #: Ids by word (the space before it left out): what is young, and what was until it was full.
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.pair_keys = None
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
@@ -131,49 +134,184 @@ class Encoder:
             i = end[i]
         return out
 
-    def whole(self, text: str) -> bytes:
-        """Ids of a stretch of text that no pre-token leaves, as little-endian unsigned 32-bit integers."""
-        parts, known = [], self.pieces
-        for piece in self.find(text):
-            ids = known.get(piece)
+    def _pairs(self):
+        """The vocabulary's pairs as arrays: sorted (left id, right id) keys and the rank of what they make."""
+        if self.pair_keys is None:
+            ranks, found = self.ranks, {}
+            for token, rank in ranks.items():
+                for i in range(1, len(token)):
+                    a, b = ranks.get(token[:i]), ranks.get(token[i:])
+                    if a is not None and b is not None:
+                        found[a << 32 | b] = rank
+            keys = np.fromiter(found.keys(), np.int64, len(found))
+            values = np.fromiter(found.values(), np.int64, len(found))
+            order = np.argsort(keys)
+            keys, values = keys[order], values[order]
+            # a hash table in front: most lookups end at one probe
+            slots = (keys.view(np.uint64) * _SPREAD) >> np.uint64(64 - _SLOT_BITS)
+            self.slot_key = np.full(1 << _SLOT_BITS, -1, np.int64)
+            self.slot_rank = np.full(1 << _SLOT_BITS, -1, np.int64)
+            self.slot_key[slots], self.slot_rank[slots] = keys, values
+            self.slot_many = np.bincount(slots.astype(np.int64), minlength=1 << _SLOT_BITS) > 1
+            self.pair_keys, self.pair_ranks = keys, values
+            self.byte_id = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair of ids, -1 if they don't merge."""
+        key = left << 32 | right
+        slot = ((key.view(np.uint64) * _SPREAD) >> np.uint64(64 - _SLOT_BITS)).view(np.int64)
+        out = np.where(self.slot_key[slot] == key, self.slot_rank[slot], -1)
+        unsure = np.flatnonzero((out < 0) & self.slot_many[slot])
+        if len(unsure):
+            at = np.minimum(np.searchsorted(self.pair_keys, key[unsure]), len(self.pair_keys) - 1)
+            out[unsure] = np.where(self.pair_keys[at] == key[unsure], self.pair_ranks[at], -1)
+        return out
+
+    def merge_many(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of many pre-tokens at once, by one rank queue over all of them.
+
+        Pre-tokens lie side by side in one linked list that never links across their ends.  A bucket then holds the
+        positions of a rank in all pre-tokens, and its merges, which don't touch each other, are made together.  One by one
+        they would be made in the same order unless a merge opens a pair of no higher rank; a pre-token where that happens
+        is done again by ``merge``.
+        """
+        self._pairs()
+        rank_of = self._rank
+        size = np.array([len(p) for p in pieces], np.int64)
+        start = np.concatenate(([0], np.cumsum(size)[:-1]))
+        n = int(size.sum())
+        tok = self.byte_id[np.frombuffer(b"".join(pieces), np.uint8)]
+        nxt, prv = np.arange(1, n + 1), np.arange(-1, n - 1)
+        nxt[start + size - 1] = -1
+        prv[start] = -1
+        pair = np.full(n, -1, np.int64)
+        inner = np.flatnonzero(nxt >= 0)
+        pair[inner] = rank_of(tok[inner], tok[inner + 1])
+        alive = np.ones(n, bool)
+        again: list[int] = []
+        l0, l1, l2 = self.l0, self.l1, 0
+        buckets: dict[int, list[int]] = {}
+        some = np.flatnonzero(pair >= 0)
+        some = some[np.argsort(pair[some], kind="stable")]
+        ranks, at = np.unique(pair[some], return_index=True)
+        for r, x, y in zip(ranks.tolist(), at.tolist(), [*at[1:].tolist(), len(some)], strict=True):
+            buckets[r] = some[x:y].tolist()
+            w = r >> 6
+            l0[w] |= 1 << (r & 63)
+            l1[w >> 6] |= 1 << (w & 63)
+            l2 |= 1 << (w >> 6)
+        while l2:
+            v = (l2 & -l2).bit_length() - 1  # find first set, level by level
+            x = l1[v]
+            w = (v << 6) | ((x & -x).bit_length() - 1)
+            y = l0[w]
+            r = (w << 6) | ((y & -y).bit_length() - 1)
+            l0[w] = y = y & (y - 1)
+            if not y:
+                l1[v] = x = x & (x - 1)
+                if not x:
+                    l2 &= l2 - 1
+            i = np.unique(np.array(buckets.pop(r), np.int64))
+            i = i[pair[i] == r]  # the others are stale
+            if not len(i):
+                continue
+            j = nxt[i]
+            if len(i) > 1 and (i[1:] == j[:-1]).any():  # overlaps: leftmost first
+                taken, barred = [], -1
+                for a, b in zip(i.tolist(), j.tolist(), strict=True):
+                    if a != barred:
+                        taken.append(a)
+                        barred = b
+                i = np.array(taken, np.int64)
+                j = nxt[i]
+            k = nxt[j]
+            open_ = k >= 0
+            more = k[open_]
+            was = rank_of(np.full(len(more), r, np.int64), tok[more])  # as it stands when only this merge is made
+            early = i[open_][(was >= 0) & (was <= r)]
+            tok[i], nxt[i], alive[j] = r, k, False
+            pair[i] = pair[j] = -1
+            prv[more] = i[open_]
+            h = prv[i]
+            p = np.unique(np.concatenate((i[nxt[i] >= 0], h[h >= 0])))
+            new = rank_of(tok[p], tok[nxt[p]])
+            pair[p] = new
+            early = np.concatenate((early, p[(new >= 0) & (new <= r)]))
+            if len(early):
+                again += np.unique(np.searchsorted(start, early, "right") - 1).tolist()
+            for at, r in zip(p.tolist(), new.tolist(), strict=True):
+                if r >= 0:
+                    if r in buckets:
+                        buckets[r].append(at)
+                    else:
+                        buckets[r] = [at]
+                        w = r >> 6
+                        l0[w] |= 1 << (r & 63)
+                        l1[w >> 6] |= 1 << (w & 63)
+                        l2 |= 1 << (w >> 6)
+        ids = tok[alive].astype("<u4").tobytes()
+        ends = (np.cumsum(np.add.reduceat(alive, start, dtype=np.int64)) * 4).tolist()
+        out = [ids[x:y] for x, y in zip([0, *ends], ends, strict=False)]
+        for k in set(again):
+            out[k] = array("I", self.merge(pieces[k])).tobytes()
+        return out
+
+    def _learn(self, wanted) -> dict[str, bytes]:
+        """Ids of each piece of ``wanted`` that is not known yet; whole vocabulary entries are their rank."""
+        ranks, out, rest = self.ranks, {}, []
+        for piece in wanted:
+            code = piece.encode("utf-8", "surrogatepass")
+            whole = ranks.get(code)
+            if whole is not None:
+                out[piece] = whole.to_bytes(4, "little")
+            else:
+                rest.append((piece, code))
+        for at in range(0, len(rest), MERGED_AT_ONCE):
+            some = rest[at : at + MERGED_AT_ONCE]
+            out.update(zip([p for p, _ in some], self.merge_many([c for _, c in some]), strict=True))
+        return out
+
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        if len(self.young) >= CACHE_WORDS:
+            self.old, self.young = self.young, {}
+        young, old, find = self.young, self.old, self.find
+        split: list[list[str]] = []
+        lacking: dict[str, list[str] | None] = {}  # words by the pieces they are cut into; the space before is left out
+        whole: dict[int, list[str]] = {}  # texts with other spaces, and what stands before the first space
+        for i, text in enumerate(texts):
+            words = (text or "").split(" ")
+            head = words.pop(0)
+            if text and _ODD_SPACE.search(text):
+                whole[i], words = find(text), []
+            elif head:
+                whole[i] = find(head)
+            split.append(words)
+            lacking.update(dict.fromkeys(w for w in words if w not in young))
+        here: dict[str, bytes] = {}
+        for w in lacking:
+            ids = old.get(w)
             if ids is None:
-                ids = array("I", self.merge(piece.encode("utf-8", "surrogatepass"))).tobytes()
-                if len(piece) <= CACHE_CHARS:
-                    if len(known) >= CACHE_WORDS:
-                        known.clear()
-                    known[piece] = ids
-            parts.append(ids)
-        return b"".join(parts)
-
-    def word(self, word: str) -> bytes:
-        """Ids of a word that isn't young, with the space before it."""
-        ids = self.old.get(word)
-        if ids is None:
-            ids = self.whole(" " + word)
-        if len(word) <= CACHE_CHARS:
-            if len(self.young) >= CACHE_WORDS:
-                self.old, self.young = self.young, {}
-            self.young[word] = ids
-        return ids
+                lacking[w] = find(" " + w)
+            else:
+                here[w] = ids
+        pieces = self._learn({p for ps in (*lacking.values(), *whole.values()) if ps for p in ps})
+        here.update((w, b"".join([pieces[p] for p in ps])) for w, ps in lacking.items() if ps is not None)
+        out = []
+        for i, words in enumerate(split):
+            parts = [young[w] if w in young else here[w] for w in words]
+            if i in whole:
+                parts.insert(0, b"".join([pieces[p] for p in whole[i]]))
+            out.append(b"".join(parts))
+        young.update((w, ids) for w, ids in here.items() if len(w) <= CACHE_CHARS)
+        return out
 
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if _ODD_SPACE.search(text):
-            return self.whole(text)
-        first, *rest = text.split(" ")
-        parts, known, word = [self.whole(first)], self.young, self.word
-        for w in rest:
-            ids = known.get(w)
-            if ids is None:
-                ids = word(w)
-                known = self.young
-            parts.append(ids)
-        return b"".join(parts)
+        return self.encode_many([text])[0]
 
 
 def _mapped(df: DataFrame, keys: list[str], column: str, out: str, make) -> DataFrame:
-    """``keys`` and the binary column ``out`` = make()(value of ``column``), made once a task."""
+    """``keys`` and the binary column ``out`` = make()(values of ``column``, a list), made once a task."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import BinaryType, StructField, StructType
 
@@ -184,15 +322,16 @@ def _mapped(df: DataFrame, keys: list[str], column: str, out: str, make) -> Data
         f = make()
         schema = to_arrow_schema(want)
         for batch in batches:
-            values, start, blobs, size = batch.column(n), 0, [], 0
-            for i in range(batch.num_rows):
-                blobs.append(f(values[i].as_py()))
-                size += len(blobs[-1])
-                if size >= BATCH_BYTES or i == batch.num_rows - 1:
-                    part = batch.slice(start, len(blobs))
-                    columns = [part.column(k).cast(schema.field(k).type) for k in range(n)]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(blobs, pa.binary())], names=schema.names)
-                    start, blobs, size = i + 1, [], 0
+            start = 0
+            while start < batch.num_rows:
+                values, size = [], 0
+                while start + len(values) < batch.num_rows and size < BATCH_BYTES:
+                    values.append(batch.column(n)[start + len(values)].as_py())
+                    size += len(values[-1] or "")
+                part = batch.slice(start, len(values))
+                columns = [part.column(k).cast(schema.field(k).type) for k in range(n)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(f(values), pa.binary())], names=schema.names)
+                start += len(values)
 
     return df.select(*keys, F.col(column).alias("__value")).mapInArrow(run, want)
 
@@ -215,7 +354,7 @@ def encode(df: DataFrame, keys: list[str], text: str, ranks_path: str, pattern:
             _ENCODERS.clear()
             ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in raw.value.splitlines() if x.strip())}
             _ENCODERS[key] = Encoder(ranks, pattern)
-        return _ENCODERS[key].encode
+        return _ENCODERS[key].encode_many
 
     return _mapped(df, keys, text, "ids", make)
 
@@ -239,7 +378,7 @@ def decode(df: DataFrame, keys: list[str], ids: str, ranks_path: str) -> DataFra
                 codes.byteswap()
             return b"".join(map(tokens.__getitem__, codes))
 
-        return back
+        return lambda blobs: [back(b) for b in blobs]
 
     return _mapped(df, keys, ids, "decoded", make)
 
