@@ -10,7 +10,7 @@ The suffix array never judges text inside a marked article: articles of one host
 text by contract.
 
 Scale: one shuffle of the pages by host and group number; a host's groups hold about ``GROUP`` pages each, so a host with a third
-of all pages is many tasks.  Boilerplate of a large host is found where it occurs twice in a group.
+of all pages is many groups.  Boilerplate of a large host is found where it occurs twice in a group.
 
 Defined results: null html counts as empty, its text is empty; a url without host is a host of its own; repeated rows are
 copies of one page, not distinct pages (pages count by id); other columns are left alone; an empty table gives no rows.
@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 
 from quern.llm.urls import host_of
 
-LONG, GROUP = 8, 400
+#: Words of a long substring, pages of a group, large hosts that the driver lists at most (some MB).
+LONG, GROUP, LISTED = 8, 400, 50_000
 
 # HTML element names by their role, and words in class, id and role that mark boilerplate.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
@@ -176,8 +177,15 @@ def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, html) -> page_id, url, text."""
     kind = pages.schema["page_id"].dataType.simpleString()
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("__host"))
-    sizes = rows.groupBy("__host").agg(F.ceil(F.count("*") / GROUP).alias("__groups"))
-    placed = rows.join(sizes, "__host").withColumn("__group", F.pmod(F.xxhash64("page_id"), F.col("__groups"))).drop("__groups")
+    # hosts of more than one group; a bounded list of them joins without a shuffle, a longer one by an ordinary join
+    large = rows.groupBy("__host").agg(F.ceil(F.count("*") / GROUP).alias("__groups")).where("__groups > 1")
+    listed = large.limit(LISTED + 1).collect()
+    few = len(listed) <= LISTED
+    sizes = F.broadcast(pages.sparkSession.createDataFrame(listed, "__host string, __groups long")) if few else large
+    group = F.pmod(F.xxhash64("page_id"), F.coalesce("__groups", F.lit(1)))
+    placed = rows.join(sizes, "__host", "left").withColumn("__group", group).drop("__groups")
+    if not few:
+        placed = placed.repartition("__host", "__group")  # else the join's partitioning by host would do
 
     def of(pdf: pd.DataFrame) -> pd.DataFrame:
         known: dict = {}
