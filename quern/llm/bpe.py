@@ -30,9 +30,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of ids or text in one output batch, words a worker remembers, longest word it remembers.
-BATCH_BYTES, CACHE_WORDS, CACHE_CHARS = 6 << 20, 250_000, 64
+BATCH_BYTES, CACHE_WORDS, CACHE_CHARS = 4 << 20, 160_000, 64
 #: Pre-tokens that one rank queue merges; the hash table of pairs.
-MERGED_AT_ONCE, _SLOT_BITS, _SPREAD = 200_000, 21, np.uint64(0x9E3779B97F4A7C15)
+MERGED_AT_ONCE, _SLOT_BITS, _SPREAD = 60_000, 20, np.uint64(0x9E3779B97F4A7C15)
 #: A space between two characters that are no white space: pre-tokens never span the place before it.
 _ODD_SPACE = re.compile(r"^ |\s | \s| $")
 
@@ -181,10 +181,10 @@ class Encoder:
         start = np.concatenate(([0], np.cumsum(size)[:-1]))
         n = int(size.sum())
         tok = self.byte_id[np.frombuffer(b"".join(pieces), np.uint8)]
-        nxt, prv = np.arange(1, n + 1), np.arange(-1, n - 1)
+        nxt, prv = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         nxt[start + size - 1] = -1
         prv[start] = -1
-        pair = np.full(n, -1, np.int64)
+        pair = np.full(n, -1, np.int32)
         inner = np.flatnonzero(nxt >= 0)
         pair[inner] = rank_of(tok[inner], tok[inner + 1])
         alive = np.ones(n, bool)
