@@ -2,7 +2,7 @@
 
 A word is the bag of its character 3-grams to 5-grams and itself, each hashed to one of ``BUCKETS`` vectors of ``DIM``
 numbers; a text is the average of its words' averages, and a linear softmax over two classes reads it.  Vectors and
-softmax are trained jointly by Adam in numpy; a misspelling that no training text holds shares most n-grams, and so
+softmax are trained jointly by Adam in numpy, at a rate that falls to zero; a misspelling that no training text holds shares most n-grams, and so
 most of its vector, with the word it stands for.
 
 As averages and softmax are linear, a trained word is one number (its pull on the logit); a text's score is the
@@ -20,7 +20,6 @@ without labels); repeated rows are scored alike; other columns are left alone; a
 from __future__ import annotations
 
 import math
-import zlib
 from collections import Counter
 
 import numpy as np
@@ -30,9 +29,11 @@ from pyspark.sql import functions as F
 
 #: Labelled rows of each class to fit on at most; held-out remainder of crc32 mod FOLDS; decision threshold.
 MAX_ROWS, FOLDS, HELD_OUT, THRESHOLD = 3000, 4, 2, 0.3
-BUCKETS, DIM, SIZES = 1 << 18, 4, (3, 4, 5)
-STEPS, RATE, DECAY, SEED = 200, 0.05, 5e-6, 7
-CACHE_WORDS, CACHE_CHARS, BATCH_ROWS = 400_000, 48, 1000
+BUCKET_BITS, DIM, SIZES = 18, 4, (3, 4, 5)
+BUCKETS = 1 << BUCKET_BITS
+STEPS, RATE, DECAY, SEED = 200, 0.1, 5e-6, 7
+CACHE_WORDS, CACHE_CHARS, BATCH_BYTES = 400_000, 48, 4 << 20
+_P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def plain(token: str) -> str:
@@ -48,12 +49,29 @@ def plain(token: str) -> str:
     return word[a:b]
 
 
-def features(word: str) -> list[int]:
-    """Buckets of a word's n-grams, its ends marked, and of the word itself."""
-    marked = f"<{word}>"
-    grams = [marked[i : i + n] for n in SIZES for i in range(len(marked) - n + 1)]
-    grams.append(marked)
-    return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in grams]
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of each word's n-grams, its ends marked, and of the word itself; word by word, and how many each has."""
+    if not words:
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    codes = np.frombuffer("".join([f"<{w}>" for w in words]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    end = np.cumsum(size)
+    owner = np.repeat(np.arange(len(words)), size)
+    left = np.repeat(end, size) - np.arange(len(codes))  # characters from here to the word's end
+    power = _P ** np.arange(int(size.max()), dtype=np.uint64)
+    hashes, of = [np.add.reduceat(codes * power[np.repeat(size, size) - left], end - size) * _Q], [np.arange(len(words))]
+    for n in SIZES:
+        at = np.flatnonzero(left >= n)
+        h = np.zeros(len(at), np.uint64)
+        for j in range(n):
+            h = h * _P + codes[at + j]
+        hashes.append((h + np.uint64(n)) * _Q)
+        of.append(owner[at])
+    of = np.concatenate(of)
+    h = np.concatenate(hashes)
+    h ^= h >> np.uint64(29)
+    order = np.argsort(of, kind="stable")
+    return ((h * _P) >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)[order], np.bincount(of, minlength=len(words))
 
 
 def fit(texts: list[str], toxic: list[int], weight: np.ndarray) -> tuple[np.ndarray, float]:
@@ -76,12 +94,16 @@ def fit(texts: list[str], toxic: list[int], weight: np.ndarray) -> tuple[np.ndar
         share.append(np.array(parts) / max(1.0, sum(parts)))
     del token_of
     docs, words, share = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (docs, words, share))
-    grams = [np.array(features(w), np.int32) for w in vocabulary]
-    size = np.array([len(g) for g in grams], np.int64)
-    gram = np.concatenate(grams) if grams else np.zeros(0, np.int32)
-    owner = np.repeat(np.arange(len(size)), size)
+    vocabulary = list(vocabulary)
+    found = [features(vocabulary[k : k + 50_000]) for k in range(0, len(vocabulary), 50_000)]
+    gram, size = (np.concatenate(x) if found else np.zeros(0, np.int32) for x in ([g for g, _ in found], [n for _, n in found]))
+    del vocabulary, found
+    start = np.concatenate(([0], np.cumsum(size, dtype=np.int64)[:-1])) if len(size) else np.zeros(0, np.int64)
     y = np.array(toxic, np.float64)
-    used, gram = np.unique(gram, return_inverse=True)  # buckets that no training word has keep a pull of zero
+    used = np.flatnonzero(np.bincount(gram, minlength=BUCKETS))  # buckets that no training word has keep a pull of zero
+    place = np.zeros(BUCKETS, np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
+    gram = place[gram]
 
     rng = np.random.default_rng(SEED)
     model = {"E": rng.normal(0, 0.05, (len(used), DIM)), "U": rng.normal(0, 0.5, (DIM, 2)), "b": np.zeros(2)}
@@ -90,19 +112,22 @@ def fit(texts: list[str], toxic: list[int], weight: np.ndarray) -> tuple[np.ndar
     weight = weight / weight.sum()
     for step in range(1, STEPS + 1):
         u = model["U"][:, 1] - model["U"][:, 0]
-        pull = np.bincount(owner, (model["E"] @ u)[gram], len(size)) / np.maximum(1, size)
+        pull = np.add.reduceat((model["E"] @ u).astype(np.float32)[gram], start) / size if len(size) else np.zeros(0)
         logit = SCALE * np.bincount(docs, share * pull[words], len(y)) + model["b"][1] - model["b"][0]
         p = 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
         err = weight * (p - y)
-        back = SCALE * np.bincount(words, share * err[docs], len(size)) / np.maximum(1, size)
-        g = np.bincount(gram, back[owner], len(used))
+        back = SCALE * np.bincount(words, share * err[docs], len(size)) / size
+        g = np.zeros(len(used))
+        for k in range(0, len(size), 50_000):  # bounds what bincount copies
+            some = slice(start[k], start[k + 50_000] if k + 50_000 < len(size) else len(gram))
+            g += np.bincount(gram[some], np.repeat(back[k : k + 50_000], size[k : k + 50_000]), len(used))
         du = model["E"].T @ g
         grad = {"E": np.outer(g, u), "U": np.stack([-du, du], 1), "b": np.array([-err.sum(), err.sum()])}
         grad["E"] += DECAY * model["E"]
         for k, v in model.items():
             first[k] = 0.9 * first[k] + 0.1 * grad[k]
             second[k] = 0.99 * second[k] + 0.01 * grad[k] ** 2
-            v -= RATE * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
+            v -= RATE * (1 - (step - 1) / STEPS) * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
     pulls = np.zeros(BUCKETS, np.float32)
     pulls[used] = SCALE * (model["E"] @ (model["U"][:, 1] - model["U"][:, 0]))
     return pulls, float(model["b"][1] - model["b"][0])
@@ -113,31 +138,40 @@ SCALE = 50.0
 
 
 class Scorer:
+    """A trained model with a bounded cache of the pull of each token (None: no word in it)."""
+
     def __init__(self, pulls: np.ndarray, bias: float):
         self.pulls, self.bias, self.known = pulls, bias, {}
 
-    def _pull(self, token: str) -> float | None:
-        """None for a token without a word."""
-        word = plain(token)
-        out = float(self.pulls[features(word)].mean()) if word else None
-        if len(token) <= CACHE_CHARS:
-            if len(self.known) >= CACHE_WORDS:
-                self.known.clear()
-            self.known[token] = out
+    def pull(self, tokens: list[str]) -> list[float | None]:
+        words = [plain(t) for t in tokens]
+        gram, size = features([w for w in words if w])
+        if not len(size):
+            return [None] * len(tokens)
+        values = iter((np.add.reduceat(self.pulls[gram].astype(np.float64), np.cumsum(size) - size) / size).tolist())
+        return [next(values) if w else None for w in words]
+
+    def scores(self, texts: list[str | None]) -> list[float]:
+        if len(self.known) >= CACHE_WORDS:
+            self.known = {}
+        known = self.known
+        counts = [Counter((t or "").split()) for t in texts]
+        new = list({t for c in counts for t in c if t not in known})
+        here = dict(zip(new, self.pull(new), strict=True))
+        out = []
+        for c in counts:
+            total = weights = 0.0
+            for token, count in c.items():
+                value = known[token] if token in known else here[token]
+                if value is not None:
+                    part = 1.0 if count == 1 else 1 + math.log(count)
+                    weights += part
+                    total += part * value
+            logit = self.bias + (total / weights if weights else 0.0)
+            out.append(1 / (1 + math.exp(-min(50.0, max(-50.0, logit)))))
+        known.update((t, v) for t, v in here.items() if len(t) <= CACHE_CHARS)
         return out
 
-    def score(self, text: str | None) -> float:
-        known, pull = self.known, self._pull
-        total = weights = 0.0
-        for token, count in Counter((text or "").split()).items():
-            value = known[token] if token in known else pull(token)
-            if value is not None:
-                part = 1.0 if count == 1 else 1 + math.log(count)
-                weights += part
-                total += part * value
-        logit = self.bias + (total / weights if weights else 0.0)
-        return 1 / (1 + math.exp(-min(50.0, max(-50.0, logit))))
-
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple[np.ndarray, float]:
     """Fit on at most MAX_ROWS labelled rows of each class, and the shares of the classes over all labelled rows."""
@@ -147,21 +181,25 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         .groupBy(key)
         .agg((F.max(label) > 0).cast("int").alias("__y"))
     )
-    rows, sizes = [], {}
-    for y in (0, 1):
-        of = known.where(F.col("__y") == y)
-        sizes[y] = of.count()
-        # ids alone are ranked, at most MAX_ROWS reach the driver; their texts follow by a join on the id
-        picked = of.orderBy(F.xxhash64(key), key).limit(MAX_ROWS)
-        texts = docs.select(key, F.col(text).alias("__text")).join(F.broadcast(picked), key)
-        rows += [(r[0] or "", y) for r in texts.groupBy(key).agg(F.min("__text")).select("min(__text)").collect()]
-    got = {y: sum(1 for _, z in rows if z == y) for y in (0, 1)}
-    if not (got[0] and got[1]):
-        share = sizes[1] / max(1, sizes[0] + sizes[1])
-        return np.zeros(BUCKETS, np.float32), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))
-    rows.sort()
-    weight = np.array([sizes[y] / got[y] for _, y in rows], np.float64)
-    return fit([t for t, _ in rows], [y for _, y in rows], weight)
+    sizes = {y: known.where(F.col("__y") == y).count() for y in (0, 1)}
+    # ids alone are ranked; the texts of at most 2 * MAX_ROWS ids follow by a join on the id
+    picked = [known.where(F.col("__y") == y).orderBy(F.xxhash64(key), key).limit(MAX_ROWS) for y in (0, 1)]
+    picked = F.broadcast(picked[0].unionAll(picked[1]))
+    sample = docs.select(key, F.col(text).alias("__text")).join(picked, key).groupBy(key).agg(F.min("__text").alias("text"), F.min("__y").alias("y"))
+
+    def run(batches):
+        rows = sorted((t or "", y) for batch in batches for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        got = {y: sum(1 for _, z in rows if z == y) for y in (0, 1)}
+        if got[0] and got[1]:
+            pulls, bias = fit([t for t, _ in rows], [y for _, y in rows], np.array([sizes[y] / got[y] for _, y in rows]))
+            yield pa.RecordBatch.from_arrays([pa.array([pulls.astype("<f4").tobytes()], pa.binary()), pa.array([bias], pa.float64())], names=["pulls", "bias"])
+
+    # the bounded sample is fitted in one task; the driver gets the BUCKETS pulls
+    model = sample.select("text", "y").repartition(1).mapInArrow(run, "pulls binary, bias double").collect()
+    if model:
+        return np.frombuffer(model[0]["pulls"], "<f4"), model[0]["bias"]
+    share = sizes[1] / max(1, sizes[0] + sizes[1])
+    return np.zeros(BUCKETS, np.float32), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))
 
 
 def scored(docs: DataFrame, model: tuple[np.ndarray, float], keys: list[str], text: str = "text") -> DataFrame:
@@ -176,9 +214,16 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float], keys: list[str], te
     def run(batches):
         scorer, schema = Scorer(*shared.value), to_arrow_schema(want)
         for batch in batches:
-            scores = [scorer.score(x.as_py()) for x in batch.column(n)]
-            columns = [batch.column(i).cast(schema.field(i).type) for i in range(n)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64())], names=schema.names)
+            start = 0
+            while start < batch.num_rows:
+                texts, size = [], 0
+                while start + len(texts) < batch.num_rows and size < BATCH_BYTES:
+                    texts.append(batch.column(n)[start + len(texts)].as_py())
+                    size += len(texts[-1] or "")
+                part = batch.slice(start, len(texts))
+                columns = [part.column(i).cast(schema.field(i).type) for i in range(n)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(scorer.scores(texts), pa.float64())], names=schema.names)
+                start += len(texts)
 
     return docs.select(*keys, F.col(text).alias("__text")).mapInArrow(run, want)
 
