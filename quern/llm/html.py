@@ -2,8 +2,8 @@
 
 A scanner cuts a page into blocks and tells, from the elements around each, whether HTML itself calls it article
 (article, main) or boilerplate (nav, header, footer, aside, form, script, ... or an element whose class, id or role says so).
-Pages of a host meet in bounded groups.  There the word streams of all blocks that the elements leave open, those of pages that
-mark no article, are concatenated, a suffix array is built by prefix doubling, and substrings of ``LONG`` words
+Pages of a host meet in bounded groups.  There the word streams of all blocks that the elements leave open, be it on a page that
+marks no article or beside a marked one, are concatenated, a suffix array is built by prefix doubling, and substrings of ``LONG`` words
 or whole blocks that occur on distinct pages are boilerplate: covered words go, unique runs stay.
 
 The suffix array never judges text inside a marked article: articles of one host share passages and copies, which are main
@@ -167,7 +167,7 @@ def repeated(streams: list[list[str]], pages: list[int], long: int = LONG) -> li
 def texts(pages: list[str | None], ids: list[int]) -> list[str]:
     """Main text of each page of one host."""
     parsed = [blocks(p) for p in pages]
-    open_at = [(i, k) for i, page in enumerate(parsed) if not any(kind > 0 for _, kind in page) for k, (_, kind) in enumerate(page) if kind == 0]
+    open_at = [(i, k) for i, page in enumerate(parsed) for k, (_, kind) in enumerate(page) if kind == 0]
     streams = [parsed[i][k][0].split(" ") for i, k in open_at]
     left = {(i, k): " ".join(w for w, gone in zip(words, cover.tolist(), strict=True) if not gone) for (i, k), words, cover in zip(open_at, streams, repeated(streams, [ids[i] for i, _ in open_at]), strict=True)}
     return ["\n\n".join(t for t in (text if kind > 0 else left.get((i, k), "") for k, (text, kind) in enumerate(page)) if t) for i, page in enumerate(parsed)]

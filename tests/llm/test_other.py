@@ -138,6 +138,12 @@ def test_host_suffix_array_removes_what_pages_share():
     assert html.texts(pages[:1] * 2, [7, 7])[0].startswith(menu)  # copies of one page are one page
 
 
+def test_host_suffix_array_judges_open_text_beside_an_article():
+    menu = "home news sport weather travel culture science contact imprint"
+    pages = [f"<div>{menu} today</div><div>Lead number {i} before the article</div><article><p>Body {i}</p></article><div>Log in</div>" for i in range(3)]
+    assert html.texts(pages, [0, 1, 2]) == [f"Lead number {i} before the article\n\nBody {i}" for i in range(3)]
+
+
 def test_html_query_equals_plain_parse(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     got = {r.page_id: r.text for r in html.extract(df.withColumn("text", F.lit(1))).collect()}
