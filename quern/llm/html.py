@@ -10,7 +10,9 @@ The suffix array never judges text inside a marked article: articles of one host
 text by contract.
 
 Scale: one shuffle of the pages by host and group number; a host's groups hold about ``GROUP`` pages each, so a host with a third
-of all pages is many groups.  Boilerplate of a large host is found where it occurs twice in a group.
+of all pages is many groups.  Groups bound memory only: every group of such a host gives the digests of its distinct substrings and
+short blocks, a shuffle by host and digest finds those of more than one group, and they return to their groups.  A page id is in
+one group, so these are on distinct pages, and with the repeats inside a group they are all repeats of the host.
 
 Defined results: null html counts as empty, its text is empty; a url without host is a host of its own; repeated rows are
 copies of one page, not distinct pages (pages count by id); other columns are left alone; an empty table gives no rows.
@@ -18,8 +20,10 @@ copies of one page, not distinct pages (pages count by id); other columns are le
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
+from collections.abc import Set
 
 import numpy as np
 import pandas as pd
@@ -164,12 +168,28 @@ def repeated(streams: list[list[str]], pages: list[int], long: int = LONG) -> li
     return [np.ones(len(w), bool) if len(seen[tuple(w)]) > 1 else covered[s : s + len(w)] for w, s in zip(streams, start, strict=True)]
 
 
-def texts(pages: list[str | None], ids: list[int]) -> list[str]:
-    """Main text of each page of one host."""
+def digests(words: list[str], long: int = LONG) -> list[bytes]:
+    """Of each substring of ``long`` words, or of the whole block if it is shorter: 128 bits, taken as unique."""
+    return [hashlib.blake2b(" ".join(words[i : i + long]).encode(), digest_size=16).digest() for i in range(max(1, len(words) - long + 1))]
+
+
+def open_digests(pages: list[str | None]) -> set[bytes]:
+    """The distinct digests of the pages' open blocks."""
+    return {d for p in pages for text, kind in blocks(p) if kind == 0 for d in digests(text.split(" "))}
+
+
+def texts(pages: list[str | None], ids: list[int], elsewhere: Set[bytes] = frozenset()) -> list[str]:
+    """Main text of each page of one host, or of one group of it and the digests that other groups hold, too."""
     parsed = [blocks(p) for p in pages]
     open_at = [(i, k) for i, page in enumerate(parsed) for k, (_, kind) in enumerate(page) if kind == 0]
     streams = [parsed[i][k][0].split(" ") for i, k in open_at]
-    left = {(i, k): " ".join(w for w, gone in zip(words, cover.tolist(), strict=True) if not gone) for (i, k), words, cover in zip(open_at, streams, repeated(streams, [ids[i] for i, _ in open_at]), strict=True)}
+    covers = repeated(streams, [ids[i] for i, _ in open_at])
+    if elsewhere:
+        for words, cover in zip(streams, covers, strict=True):
+            for i, d in enumerate(digests(words)):
+                if d in elsewhere:
+                    cover[i : i + LONG] = True
+    left = {(i, k): " ".join(w for w, gone in zip(words, cover.tolist(), strict=True) if not gone) for (i, k), words, cover in zip(open_at, streams, covers, strict=True)}
     return ["\n\n".join(t for t in (text if kind > 0 else left.get((i, k), "") for k, (text, kind) in enumerate(page)) if t) for i, page in enumerate(parsed)]
 
 
@@ -182,18 +202,29 @@ def extract(pages: DataFrame) -> DataFrame:
     listed = large.limit(LISTED + 1).collect()
     few = len(listed) <= LISTED
     sizes = F.broadcast(pages.sparkSession.createDataFrame(listed, "__host string, __groups long")) if few else large
-    group = F.pmod(F.xxhash64("page_id"), F.coalesce("__groups", F.lit(1)))
-    placed = rows.join(sizes, "__host", "left").withColumn("__group", group).drop("__groups")
-    if not few:
-        placed = placed.repartition("__host", "__group")  # else the join's partitioning by host would do
+    groups = F.coalesce("__groups", F.lit(1).cast("long"))
+    placed = rows.join(sizes, "__host", "left").withColumn("__group", F.pmod(F.xxhash64("page_id"), groups)).withColumn("__groups", groups)
+    placed = placed.repartition("__host", "__group")  # one exchange for both readers; the join's partitioning by host would not do
 
-    def of(pdf: pd.DataFrame) -> pd.DataFrame:
+    def html_of(pdf: pd.DataFrame) -> list[str | None]:
+        return [h if isinstance(h, str) else None for h in pdf["html"]]
+
+    def keys(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = open_digests(html_of(pdf)) if pdf["__groups"].iloc[0] > 1 else ()
+        return pd.DataFrame({"__host": pdf["__host"].iloc[0], "__group": pdf["__group"].iloc[0], "d": pd.Series(list(found), dtype=object)})
+
+    def of(pdf: pd.DataFrame, shared: pd.DataFrame | None = None) -> pd.DataFrame:
         known: dict = {}
         ids = [known.setdefault(i, len(known)) for i in pdf["page_id"].astype(object).where(pdf["page_id"].notna(), None)]
-        html_of = [h if isinstance(h, str) else None for h in pdf["html"]]
-        return pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": texts(html_of, ids)})
-
-    return placed.groupBy("__host", "__group").applyInPandas(of, f"page_id {kind}, url string, text string")
+        elsewhere = frozenset() if shared is None else frozenset(map(bytes, shared["d"]))
+        return pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": texts(html_of(pdf), ids, elsewhere)})
+
+    by_group, out = placed.groupBy("__host", "__group"), f"page_id {kind}, url string, text string"
+    if not listed:  # no host of more than one group
+        return by_group.applyInPandas(lambda pdf: of(pdf), out)
+    each = by_group.applyInPandas(keys, "__host string, __group long, d binary")
+    shared = each.groupBy("__host", "d").agg(F.collect_list("__group").alias("g")).where(F.size("g") > 1).select("__host", F.explode("g").alias("__group"), "d")
+    return by_group.cogroup(shared.groupBy("__host", "__group")).applyInPandas(lambda pdf, shared: of(pdf, shared), out)
 
 
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -144,6 +144,24 @@ def test_host_suffix_array_judges_open_text_beside_an_article():
     assert html.texts(pages, [0, 1, 2]) == [f"Lead number {i} before the article\n\nBody {i}" for i in range(3)]
 
 
+def test_html_finds_what_pages_of_different_groups_share(spark, monkeypatch):
+    monkeypatch.setattr(html, "GROUP", 3)
+    rng = random.Random(8)
+    say = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    notice, short = [say(12) for _ in range(20)], [say(2) for _ in range(20)]  # each on two pages of a host
+    rows = [(i, f"http://{host}/{i}", f"<div>{say(9)} {notice[i % 20]} {say(1)}</div><p>{short[i % 20]}</p><div>{say(20)}</div>") for host, ids in (("a.org", range(40)), ("b.org", range(100, 102)), ("c.org", range(200, 220))) for i in ids]
+    rows += [rows[45], (None, "http://a.org/", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = []
+    for host in ("a.org", "b.org", "c.org"):
+        of = [r for r in rows if host in r[1]]
+        want += zip([r[0] for r in of], html.texts([r[2] for r in of], [-1 if r[0] is None else r[0] for r in of]), strict=True)
+    assert not any(n in t for i, t in want if i is not None and i < 40 for n in notice + short)
+    for listed in (50_000, 0):
+        monkeypatch.setattr(html, "LISTED", listed)
+        assert sorted(((r.page_id, r.text) for r in html.extract(df).collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_html_query_equals_plain_parse(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     got = {r.page_id: r.text for r in html.extract(df.withColumn("text", F.lit(1))).collect()}
