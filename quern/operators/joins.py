@@ -15,6 +15,11 @@ sql_operator("join_natural_left", "SELECT * FROM (SELECT n_nationkey, n_regionke
 sql_operator("join_left", f"SELECT c.c_custkey, o.o_orderkey FROM {{customer}} c LEFT JOIN {_FEW} o ON c.c_custkey = o.o_custkey")
 sql_operator("join_right", f"SELECT o.o_orderkey, c.c_custkey FROM {_FEW} o RIGHT JOIN {{customer}} c ON c.c_custkey = o.o_custkey")
 sql_operator("join_full", f"SELECT o.o_orderkey, c.c_custkey FROM {_FEW} o FULL JOIN (SELECT * FROM {{customer}} WHERE c_custkey % 2 = 0) c ON c.c_custkey = o.o_custkey")
+# the same over whole tables: a condition on the price leaves rows unmatched and drops none
+_MATCH = "c.c_custkey = o.o_custkey AND o.o_totalprice > 400000"
+sql_operator("join_left_whole", f"SELECT c.c_custkey, o.o_orderkey FROM {{customer}} c LEFT JOIN {{orders}} o ON {_MATCH}")
+sql_operator("join_right_whole", f"SELECT o.o_orderkey, c.c_custkey FROM {{orders}} o RIGHT JOIN {{customer}} c ON {_MATCH}")
+sql_operator("join_full_whole", f"SELECT o.o_orderkey, c.c_custkey FROM {{orders}} o FULL JOIN {{customer}} c ON {_MATCH}")
 sql_operator("join_self", "SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM {supplier} a JOIN {supplier} b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey")
 sql_operator(
     "join_multiway",
