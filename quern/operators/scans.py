@@ -14,6 +14,7 @@ sql_operator(
     "scan_reverse",
     "SELECT o_orderkey, o_orderdate FROM {orders} ORDER BY o_orderkey DESC LIMIT 50",
 )
+sql_operator("scan_reverse_whole", "SELECT o_orderkey, o_orderdate FROM {orders} ORDER BY o_orderkey DESC")
 sql_operator("scan_rowid_seek", "SELECT o_orderkey, o_custkey, o_totalprice FROM {orders} WHERE o_orderkey = 4711")
 sql_operator("scan_index_eq", "SELECT c_custkey, c_name FROM {customer} WHERE c_mktsegment = 'BUILDING'")
 sql_operator("scan_index_range", "SELECT o_orderkey, o_orderdate FROM {orders} WHERE o_orderkey BETWEEN 100 AND 900 AND o_orderdate >= TIMESTAMP '1996-01-01'")

@@ -46,3 +46,10 @@ def test_outer_joins_and_exists_over_whole_tables(spark, duck):
     assert {o for o, _ in full} - {None} == orders and {c for _, c in full} - {None} == customers
     assert sum(c is None for _, c in full) == len(orders) - sum(o is not None for _, o in left) > 0
     assert {r[0] for r in run("pred_exists_whole")} == customers
+
+
+@pytest.mark.parametrize("key,table", [("sort_multi_whole", "orders"), ("sort_expr_whole", "orders"), ("sort_nulls_whole", "orders"), ("sorter_whole", "lineitem"), ("scan_reverse_whole", "orders")])
+def test_sorts_return_whole_tables_in_order(spark, duck, key, table):
+    got = [tuple(r) for r in catalog.queries()[key](spark, SF).collect()]
+    assert got == duck.sql(catalog.oracle_sql()[key]).fetchall()
+    assert len(got) == duck.sql(f"select count(*) from {table}").fetchall()[0][0]
