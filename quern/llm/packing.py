@@ -13,13 +13,16 @@ Every sequence but the last is full; the last is padded to the window unless its
 padding of the whole corpus is below one window.
 
 Defined results: null text counts as empty and is one end id; a null key is kept; repeated rows are packed each;
-strings of special tokens inside a text are ordinary text; other columns are left alone; an empty table gives no rows.
+the literal of an added token of the tokenizer file (``<|endoftext|>``) inside a text is that token, as the tokenizers library
+reads it; other columns are left alone; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import base64
+import functools
 import itertools
+import json
 from array import array
 
 import pyarrow as pa
@@ -36,17 +39,18 @@ BATCH_BYTES = 4 << 20
 _CODERS: dict[int, object] = {}
 
 
-def _encoding(raw: bytes, pattern: str):
+def _encoding(raw: bytes, pattern: str, special: dict[str, int]):
     import tiktoken
 
     ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in raw.splitlines() if x.strip())}
-    return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
 
-def tokenized(df: DataFrame, key: str, text: str, ranks_path: str, pattern: str, end_id: int | None = END_ID) -> DataFrame:
+def tokenized(df: DataFrame, key: str, text: str, ranks_path: str, pattern: str, end_id: int | None = END_ID, special: dict[str, int] | None = None) -> DataFrame:
     """A shared table (key, part int, before long, n long, ids binary) of every row's ids and the end id.
 
     ``ranks_path`` holds a byte-level vocabulary as ranks, which gives the ids of the same vocabulary's tokenizer file.
+    ``special`` are its added tokens with their ids; without them, their literals are ordinary text.
     """
     from pyspark import TaskContext
 
@@ -56,11 +60,13 @@ def tokenized(df: DataFrame, key: str, text: str, ranks_path: str, pattern: str,
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches):
-        mark = hash(raw.value)
+        mark = hash((raw.value, *sorted((special or {}).items())))
         if mark not in _CODERS:
             _CODERS.clear()
-            _CODERS[mark] = _encoding(raw.value, pattern)
-        encode, part, before = _CODERS[mark].encode_ordinary, TaskContext.get().partitionId(), 0
+            _CODERS[mark] = _encoding(raw.value, pattern, special or {})
+        coder = _CODERS[mark]
+        encode = functools.partial(coder.encode, allowed_special="all") if special else coder.encode_ordinary
+        part, before = TaskContext.get().partitionId(), 0
         for batch in batches:
             start = 0
             while start < batch.num_rows:
@@ -116,11 +122,21 @@ def pack(table: DataFrame, key: str, window: int = WINDOW) -> DataFrame:
     return out.withColumnRenamed("key", key)
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """The added tokens of a tokenizer file, with their ids."""
+    with open(path, encoding="utf-8") as f:
+        added = json.load(f)["added_tokens"]
+    if any(t[flag] for t in added for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError(f"{path} has added tokens that match more or less than their literal")
+    return {t["content"]: t["id"] for t in added}
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """Pieces of every document, with digests in place of the ids."""
     import public_tokenizers
 
-    table = tokenized(docs, "doc_id", "text", public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    special = added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    table = tokenized(docs, "doc_id", "text", public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, special=special)
     shrink(docs.sparkSession)
     return pack(table, "doc_id").select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 

@@ -173,6 +173,15 @@ def test_packing_is_gapless_and_whole(docs, none):
     assert packing.pack(packing.tokenized(none, "doc_id", "text", path, public_tokenizers.PATTERN), "doc_id").count() == 0
 
 
+def test_packing_reads_added_tokens_as_the_tokenizer_does(spark):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|><|endoftext|>  it's\n\n", "<|endoftext|", "<|pad|> <|ENDOFTEXT|>", "é<|endoftext|>日本 😀", "plain", None]
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = packing.packed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
+    streams = {i: array.array("I", [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1]) for i, t in enumerate(texts)}
+    assert 50256 in streams[0] and len(rows) == len(texts)  # no document here reaches the window's end
+    assert {(r.doc_id, r.doc_tokens, r.ids_crc32) for r in rows} == {(i, len(x), zlib.crc32(x.tobytes())) for i, x in streams.items()}
+
+
 def test_toxicity_learns_subwords(spark, none):
     rng = random.Random(2)
     words = ["".join(rng.choice("abcdefg") for _ in range(5)) for _ in range(80)]
