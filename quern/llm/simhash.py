@@ -160,13 +160,16 @@ def near_links(distinct: DataFrame, hot: int = HOT) -> DataFrame:
 
 
 def near_classes(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``key``, ``fp`` (long) and ``component``: the smallest key among the rows reachable by near fingerprints."""
+    """``key``, ``fp`` (long), ``component``: the smallest key among the rows reachable by near fingerprints, and ``class``.
+
+    ``class`` is the smallest fingerprint of those rows; a key of several rows can be the smallest of more than one class.
+    """
     fps = shared_table(fingerprints(df, [key], text), "fingerprints")
     distinct = shared_table(fps.groupBy("fp").agg(F.min(key).alias("least")), "distinct")
     comp = connected_components(near_links(distinct.select("fp"))).withColumnRenamed("node", "fp")
     named = distinct.join(comp, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = named.groupBy("component").agg(F.min("least").alias("name"))
-    names = shared_table(named.join(least, "component").select("fp", F.col("name").alias("component")), "names")
+    names = shared_table(named.join(least, "component").select("fp", F.col("name").alias("component"), F.col("component").alias("class")), "names")
     shrink(df.sparkSession)
     return fps.join(names, "fp")
 

@@ -24,12 +24,13 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of every class of near fingerprints; rows without an id stay.
 
-    Rows that share an id share its fate, and where they stay one of them does.
+    Rows that share an id are judged each by its own class; of those that share both id and class, one of the least fingerprint stays.
     """
     classes = simhash.near_classes(docs, "doc_id", "text")
-    gone = classes.where(F.col("doc_id") != F.col("component")).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null")).select(*docs.columns)
+    kept = classes.where(F.col("doc_id") == F.col("component")).groupBy("doc_id", "class").agg(F.min("fp").alias("fp")).select("doc_id", "fp")
+    rows = simhash.fingerprints(docs.where("doc_id is not null"), docs.columns, "text")
+    once = rows.join(kept, ["doc_id", "fp"]).dropDuplicates(["doc_id", "fp"])
+    return once.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quern.llm import bpe, packing, simhash, substrings, toxicity
+from quern.llm import bpe, packing, simhash, stages, substrings, toxicity
 from quern.llm.common import connected_components
 
 SCHEMA = "doc_id long, text string, score double, `key` string"  # columns whose names the operators use themselves
@@ -118,6 +118,17 @@ def test_near_links_with_and_without_hot_segments(spark, hot):
     assert [got.get(v, v) for v in values] == classes(values, values)
 
 
+def test_near_dedup_judges_rows_that_share_an_id_each(spark):
+    rng = random.Random(7)
+    a, b, c, d = (" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(80)) for _ in range(4))
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, d), (3, d), (4, d), (None, a), (None, a)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, lang string").repartition(3)
+    out = stages.simhash_near_dedup(spark, df, "")
+    assert out.columns == df.columns
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+    assert got == sorted([(1, a), (2, b), (3, c), (3, d), (None, a), (None, a)], key=repr)
+
+
 def brute_removed(rows):
     rows = [(i, re.findall(WORD, t or "")) for i, t, *_ in rows]
     first = {}
