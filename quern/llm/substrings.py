@@ -1,10 +1,11 @@
-"""Duplicate passages by relative Lempel-Ziv parsing (operator 7).
+"""Duplicate passages by a hash lookup of windows, in place of a relative Lempel-Ziv parse (operator 7).
 
 A window is 13 consecutive words of one document.  The reference is the set of first occurrences: every window with the
 smallest document id it starts in.  It is an index in blocks, one for each hash partition, and no task ever holds more
-than a part of it.  A document is factored greedily against all blocks: from a word whose window an earlier document
-holds, the factor goes on while the next window is in the reference too; at a factor's end the parse looks up the next
-window anew, and so on.  Factors of at least 13 words are duplicate spans; their words go.
+than a part of it.  Each window of a document is looked up by hash, and runs of known windows are joined to spans of at
+least 13 words, which go.  A span has no source position and may run across windows of different earlier documents: the words
+that go are those in any window that a smaller document holds, whichever holds it, and a position with each entry would add to
+the shuffle without changing them.
 
 Most windows occur once, and a block index of all of them would shuffle many times the corpus.  So each window has an
 anchor, the least hash of the 5-grams in it, and consecutive windows of one anchor are a phrase.  Anchors depend on the
@@ -13,7 +14,7 @@ window alone, so equal windows have equal anchors; there are about five windows
 1. Phrases meet by anchor, in one shuffle.  A phrase that a smaller document holds is known with all its windows.  Only
    an anchor's different phrases, each at its first occurrence, are left to compare window by window.
 2. The windows of those meet by their hash, and the least document of each is its reference entry.
-3. Documents are factored against both.
+3. The windows of the documents are looked up in both.
 
 Nothing is sampled: a window that repeats is in a known phrase, or its first occurrence in both documents' phrases is
 compared in step 2.  Words have 64-bit hashes, windows, anchors and phrases too; a window counts as known only within
@@ -71,10 +72,10 @@ def windows(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def factors(known: np.ndarray) -> list[tuple[int, int]]:
-    """Greedy parse: which windows the reference knows -> (first word, words) of every factor.
+    """Runs of windows that the reference knows -> (first word, words) of every run.
 
-    A factor starts at a known window and takes a word more for each next window that is known.  Where one ends the next
-    window is looked up anew; a window that starts inside the factor and is known again starts a factor that overlaps.
+    A run starts at a known window and takes a word more for each next window that is known.  A window after an unknown one
+    starts another run, which overlaps if fewer than 12 windows are between.
     """
     out, i, n = [], 0, len(known)
     hits = np.flatnonzero(known)
@@ -205,7 +206,7 @@ def known_parts(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFr
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with, after its own columns, ``__words``, ``__removed`` (longs), ``__spans`` and ``__kept``.
 
-    Spans (start, length in words) may overlap where a factor starts inside another; ``__kept`` is the words outside all
+    Spans (start, length in words) may overlap where a run of known windows starts inside another's words; ``__kept`` is the words outside all
     spans, joined by one space.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
