@@ -2,7 +2,8 @@
 
 Rules (a host with its subdomains and a path prefix) decide first, the longest that fits wins.  The other urls are
 judged by two character language models, one of the urls that rules allow and one of those that rules block:
-variable-order Markov models over the last 0, 1 and 2 characters, interpolated by Witten-Bell smoothing.  The
+variable-order Markov models over the last 0, 1 and 2 characters, interpolated by Witten-Bell smoothing.  They read the whole url
+after "://", query and fragment included, in 32 symbols: digits are one, and all but a-z, digits and ./-_ are another.  The
 verdict compares the log-likelihood difference a character with a threshold calibrated on the urls that rules judge:
 the point that lies as many standard deviations below the mean of the allowed as above that of the blocked.
 
@@ -38,6 +39,11 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def rest_of(url: Column) -> Column:
+    """What stands after the host: path, query and fragment."""
+    return F.coalesce(F.regexp_extract(url, r"(?s)://[^/?#]*(.*)", 1), F.lit(""))
+
+
 def _rule(host: Column, path: Column, rules, value) -> Column:
     """``value(verdict, text)`` of the longest rule that fits, else null."""
     out = F.lit(None).cast("string")
@@ -93,10 +99,10 @@ def _mixed(n: Column, context: Column, kinds: Column, lower: Column) -> Column:
 def judge(pages: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
     """``pages`` with host, path, rule, score (null where a rule or nothing decides) and verdict."""
     names = [c for c in pages.columns if c not in ("host", "path", "rule", "score", "verdict")]
-    base = pages.select(*names, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
+    base = pages.select(*names, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), rest_of(F.col(url)).alias("__rest"))
     base = base.withColumn("rule", _rule(F.col("host"), F.col("path"), rules, lambda v, t: t))
     ruled = _rule(F.col("host"), F.col("path"), rules, lambda v, t: v)
-    text = F.concat("host", "path")
+    text = F.concat("host", "__rest")
     labelled = base.where(F.col("rule").isNotNull() & (text != "")).select(grams(text).alias("grams"), (ruled == "allow").alias("accepted"))
     weights = F.split(F.lit(train(labelled)), ",").cast("array<double>")
 
@@ -109,7 +115,7 @@ def judge(pages: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
     threshold = (yes * sn + no * sy) / (sy + sn) if len(found) == 2 else 0.0
     own = F.when(F.col("rule").isNull() & (text != ""), score(grams(text)))
     method = F.when(F.col("score") >= threshold, "allow").otherwise("block")
-    return base.withColumn("score", own).withColumn("verdict", F.coalesce(ruled, method))
+    return base.withColumn("score", own).withColumn("verdict", F.coalesce(ruled, method)).drop("__rest")
 
 
 def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,6 +77,17 @@ def test_url_model_equals_brute_force(spark):
         assert got[i] == pytest.approx(sum(math.log(yes(*x)) - math.log(no(*x)) for x in g) / len(g), abs=1e-4)
 
 
+def test_url_model_reads_query_and_fragment(spark):
+    rows = [(i, f"http://a.org/x?good=yes#{'top' * (i % 3)}") for i in range(30)] + [(30 + i, f"http://a.com/de/x?bad=zzz#{'qqq' * (i % 3)}") for i in range(30)]
+    rows += [(100, "http://b.net/x?good=yes"), (101, "http://b.net/x?bad=zzz"), (102, "http://b.net/x#top"), (103, "http://b.net/x#qqq"), (104, "http://b.net/x#q\nqq")]
+    out = urls.judge(spark.createDataFrame(rows, "page_id long, url string"))
+    assert out.columns == ["page_id", "url", "host", "path", "rule", "score", "verdict"]
+    got = {r.page_id: r for r in out.collect()}
+    assert got[100].score > got[101].score and got[102].score > got[103].score and got[104].score not in (got[102].score, got[103].score)
+    assert (got[100].verdict, got[101].verdict) == ("allow", "block")
+    assert {got[i].path for i in range(100, 105)} == {"/x"}
+
+
 def test_top_k_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK", 60)
     monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
