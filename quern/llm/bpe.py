@@ -10,31 +10,34 @@ letters is no special case.
 Exactness: for every rank in turn the leftmost pair goes first, as the greedy rule of the public
 tiktoken library demands; a pre-token that is itself in the vocabulary becomes its rank at once, as there.
 
-Memory: a worker holds the ranks, a bounded cache of encoded words and one output batch of
-``BATCH_BYTES``.  Work is a narrow map: no shuffle, no state, so a lost executor repeats its own tasks only.
+Memory: a worker holds the ranks, a bounded cache of encoded words, one batch of ``BATCH_BYTES`` of text (a longer text is
+a batch of its own) and the rank queue of ``MERGED_BYTES``.  Work is a narrow map: no shuffle, no state, so a lost executor repeats its own tasks only.
 
-Defined results: a null text counts as empty; an empty text has no ids; other columns pass through
+Defined results: a null text counts as empty; an empty text has no ids; ids that the vocabulary lacks are an error; other columns pass through
 unread (name the key columns to keep); repeated rows are encoded alike; an empty table gives no row.
 """
 
 from __future__ import annotations
 
 import base64
-import re
 from array import array
 from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of ids or text in one output batch, words a worker remembers, longest word it remembers.
-BATCH_BYTES, CACHE_WORDS, CACHE_CHARS = 4 << 20, 160_000, 64
-#: Pre-tokens that one rank queue merges; the hash table of pairs.
-MERGED_AT_ONCE, _SLOT_BITS, _SPREAD = 60_000, 20, np.uint64(0x9E3779B97F4A7C15)
-#: A space between two characters that are no white space: pre-tokens never span the place before it.
-_ODD_SPACE = re.compile(r"^ |\s | \s| $")
+BATCH_BYTES, CACHE_WORDS, CACHE_CHARS = 8 << 20, 150_000, 64
+#: Bytes of pre-tokens that one rank queue merges; the hash table of pairs.
+MERGED_BYTES, _SLOT_BITS, _SPREAD = 1_500_000, 20, np.uint64(0x9E3779B97F4A7C15)
+#: Fixed value: the pattern whose pre-tokens never span the place before a space that stands between two characters that are no
+#: white space.  Texts are cut there first if they are to be cut by this pattern; any other pattern reads whole texts.
+CUT_AT_SPACES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: A space at an end of the text or beside other white space (a few control characters more than that do no harm).
+_ODD_SPACE = r"^ |[\x09-\x0D\x1C-\x20\x{85}\pZ] | [\x09-\x0D\x1C-\x20\x{85}\pZ]| $"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -43,6 +46,17 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted without copies; for the short arrays of a bucket much faster than np.unique."""
+    x = np.sort(x)
+    if len(x) < 2:
+        return x
+    new = np.empty(len(x), bool)
+    new[0] = True
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return x[new]
+
+
 class Encoder:
     """Ranks, a pre-token pattern, the rank queue's bitmap and a bounded cache of words already encoded.
 
@@ -58,6 +72,7 @@ class Encoder:
         n0 = (max(ranks.values(), default=0) >> 6) + 1
         self.l0, self.l1 = [0] * n0, [0] * ((n0 >> 6) + 1)
         self.find = regex.compile(pattern).findall
+        self.spaces = pattern == CUT_AT_SPACES
         #: Rank of each pair of bytes, by the first and the second; -1 if they don't merge.
         self.first = [[ranks.get(bytes((a, b)), -1) for b in range(256)] for a in range(256)]
         #: Ids by word (the space before it left out): what is young, and what was until it was full.
@@ -175,6 +190,8 @@ class Encoder:
         they would be made in the same order unless a merge opens a pair of no higher rank; a pre-token where that happens
         is done again by ``merge``.
         """
+        if not pieces:
+            return []
         self._pairs()
         rank_of = self._rank
         size = np.array([len(p) for p in pieces], np.int64)
@@ -191,10 +208,11 @@ class Encoder:
         again: list[int] = []
         l0, l1, l2 = self.l0, self.l1, 0
         buckets: dict[int, list[int]] = {}
-        some = np.flatnonzero(pair >= 0)
+        some = np.flatnonzero(pair >= 0).astype(np.int32)
         some = some[np.argsort(pair[some], kind="stable")]
-        ranks, at = np.unique(pair[some], return_index=True)
-        for r, x, y in zip(ranks.tolist(), at.tolist(), [*at[1:].tolist(), len(some)], strict=True):
+        bounds = [0, *(np.flatnonzero(np.diff(pair[some])) + 1).tolist(), len(some)] if len(some) else []
+        for x, y in zip(bounds, bounds[1:]):  # noqa: B905
+            r = int(pair[some[x]])
             buckets[r] = some[x:y].tolist()
             w = r >> 6
             l0[w] |= 1 << (r & 63)
@@ -211,10 +229,11 @@ class Encoder:
                 l1[v] = x = x & (x - 1)
                 if not x:
                     l2 &= l2 - 1
-            i = np.unique(np.array(buckets.pop(r), np.int64))
+            i = np.array(buckets.pop(r), np.int64)
             i = i[pair[i] == r]  # the others are stale
             if not len(i):
                 continue
+            i = _distinct(i)
             j = nxt[i]
             if len(i) > 1 and (i[1:] == j[:-1]).any():  # overlaps: leftmost first
                 taken, barred = [], -1
@@ -233,22 +252,24 @@ class Encoder:
             pair[i] = pair[j] = -1
             prv[more] = i[open_]
             h = prv[i]
-            p = np.unique(np.concatenate((i[nxt[i] >= 0], h[h >= 0])))
+            p = _distinct(np.concatenate((i[open_], h[h >= 0])))
             new = rank_of(tok[p], tok[nxt[p]])
             pair[p] = new
-            early = np.concatenate((early, p[(new >= 0) & (new <= r)]))
+            works = new >= 0
+            p, new = p[works], new[works]
+            early = np.concatenate((early, p[new <= r]))
             if len(early):
-                again += np.unique(np.searchsorted(start, early, "right") - 1).tolist()
+                again += (np.searchsorted(start, early, "right") - 1).tolist()
             for at, r in zip(p.tolist(), new.tolist(), strict=True):
-                if r >= 0:
-                    if r in buckets:
-                        buckets[r].append(at)
-                    else:
-                        buckets[r] = [at]
-                        w = r >> 6
-                        l0[w] |= 1 << (r & 63)
-                        l1[w >> 6] |= 1 << (w & 63)
-                        l2 |= 1 << (w >> 6)
+                bucket = buckets.get(r)
+                if bucket is not None:
+                    bucket.append(at)
+                else:
+                    buckets[r] = [at]
+                    w = r >> 6
+                    l0[w] |= 1 << (r & 63)
+                    l1[w >> 6] |= 1 << (w & 63)
+                    l2 |= 1 << (w >> 6)
         ids = tok[alive].astype("<u4").tobytes()
         ends = (np.cumsum(np.add.reduceat(alive, start, dtype=np.int64)) * 4).tolist()
         out = [ids[x:y] for x, y in zip([0, *ends], ends, strict=False)]
@@ -257,61 +278,102 @@ class Encoder:
         return out
 
     def _learn(self, wanted) -> dict[str, bytes]:
-        """Ids of each piece of ``wanted`` that is not known yet; whole vocabulary entries are their rank."""
-        ranks, out, rest = self.ranks, {}, []
+        """Ids of each piece of ``wanted``; whole vocabulary entries are their rank."""
+        ranks, out, names, codes, size = self.ranks, {}, [], [], 0
+
+        def merged():
+            out.update(zip(names, self.merge_many(codes), strict=True))
+            names.clear()
+            codes.clear()
+
         for piece in wanted:
-            code = piece.encode("utf-8", "surrogatepass")
+            code = piece.encode()
             whole = ranks.get(code)
             if whole is not None:
                 out[piece] = whole.to_bytes(4, "little")
-            else:
-                rest.append((piece, code))
-        for at in range(0, len(rest), MERGED_AT_ONCE):
-            some = rest[at : at + MERGED_AT_ONCE]
-            out.update(zip([p for p, _ in some], self.merge_many([c for _, c in some]), strict=True))
+                continue
+            if size + len(code) > MERGED_BYTES and codes:
+                merged()
+                size = 0
+            names.append(piece)
+            codes.append(code)
+            size += len(code)
+        if codes:
+            merged()
         return out
 
-    def encode_many(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words, each with the space before it."""
         if len(self.young) >= CACHE_WORDS:
             self.old, self.young = self.young, {}
-        young, old, find = self.young, self.old, self.find
-        split: list[list[str]] = []
-        lacking: dict[str, list[str] | None] = {}  # words by the pieces they are cut into; the space before is left out
-        whole: dict[int, list[str]] = {}  # texts with other spaces, and what stands before the first space
-        for i, text in enumerate(texts):
-            words = (text or "").split(" ")
-            head = words.pop(0)
-            if text and _ODD_SPACE.search(text):
-                whole[i], words = find(text), []
-            elif head:
-                whole[i] = find(head)
-            split.append(words)
-            lacking.update(dict.fromkeys(w for w in words if w not in young))
-        here: dict[str, bytes] = {}
-        for w in lacking:
-            ids = old.get(w)
-            if ids is None:
-                lacking[w] = find(" " + w)
-            else:
-                here[w] = ids
-        pieces = self._learn({p for ps in (*lacking.values(), *whole.values()) if ps for p in ps})
-        here.update((w, b"".join([pieces[p] for p in ps])) for w, ps in lacking.items() if ps is not None)
-        out = []
-        for i, words in enumerate(split):
-            parts = [young[w] if w in young else here[w] for w in words]
-            if i in whole:
-                parts.insert(0, b"".join([pieces[p] for p in whole[i]]))
-            out.append(b"".join(parts))
-        young.update((w, ids) for w, ids in here.items() if len(w) <= CACHE_CHARS)
+        young, old = self.young, self.old
+        out = [young.get(w) or old.get(w) for w in words]
+        lacking = [i for i, ids in enumerate(out) if ids is None]
+        flat = self.find("".join([" " + words[i] for i in lacking]))
+        known = self._learn(set(flat))
+        bounds = [i for i, p in enumerate(flat) if p[0] == " "]  # a space is before every word and nowhere else
+        bounds.append(len(flat))
+        ids = [known[p] for p in flat]
+        for i, a, b in zip(lacking, bounds[:-1], bounds[1:], strict=True):
+            out[i] = ids[a] if b == a + 1 else b"".join(ids[a:b])
+        young.update((w, ids) for w, ids in zip(words, out, strict=True) if len(w) <= CACHE_CHARS and w not in young)
         return out
 
+    def _texts(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts that are cut by the pattern as a whole."""
+        cut = [self.find(t) for t in texts]
+        known = self._learn({p for pieces in cut for p in pieces})
+        return [b"".join([known[p] for p in pieces]) for pieces in cut]
+
+    def encode_array(self, texts: pa.Array) -> pa.Array:
+        """A string array -> the ids of each text as little-endian unsigned 32-bit integers (binary array; null counts as empty).
+
+        Words are numbered by Arrow, so Python sees the distinct ones of the batch only, and their ids are put together by
+        a gather over the words' numbers.
+        """
+        texts = pc.fill_null(texts, "")
+        if not self.spaces:
+            return pa.array(self._texts(texts.to_pylist()), pa.binary())
+        odd = pc.match_substring_regex(texts, _ODD_SPACE)
+        lists = pc.split_pattern(pc.if_else(odd, "", texts), " ")
+        ends = lists.offsets.to_numpy()
+        words = lists.flatten().dictionary_encode()
+        number, names = words.indices.to_numpy().astype(np.int64), words.dictionary.to_pylist()
+        head = ends[:-1]  # the first word of a text has no space before it
+        first, place = np.unique(number[head], return_inverse=True)
+        others = np.ones(len(number), bool)
+        others[head] = False
+        inner = np.flatnonzero(np.bincount(number[others], minlength=len(names)))  # words that have a space before them
+        place_of = np.zeros(len(names), np.int64)
+        place_of[inner] = np.arange(len(inner))
+        number = place_of[number]
+        number[head] = len(inner) + place.ravel()
+        whole = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        number[head[whole]] = len(inner) + len(first) + np.arange(len(whole))
+        ids = self._words([names[i] for i in inner.tolist()])
+        ids += self._texts([names[i] for i in first.tolist()])
+        ids += self._texts(texts.take(pa.array(whole)).to_pylist())
+        return _joined(pa.array(ids, pa.large_binary()).take(pa.array(number)), ends)
+
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        return self.encode_array(pa.array(texts, pa.string())).to_pylist()
+
     def encode(self, text: str | None) -> bytes:
         return self.encode_many([text])[0]
 
 
+def _joined(parts: pa.Array, ends: np.ndarray) -> pa.Array:
+    """Of a large binary array without nulls, the parts from ends[i] to ends[i + 1] joined, as a binary array."""
+    _, offsets, data = parts.buffers()
+    at = np.frombuffer(offsets, np.int64, len(parts) + 1, parts.offset * 8)[ends]
+    if at[-1] - at[0] >= 1 << 31:
+        raise ValueError("a row's ids or bytes are beyond the 2 GB that a value can hold")
+    shifted = pa.py_buffer((at - at[0]).astype(np.int32).tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, shifted, data.slice(int(at[0])) if data else pa.py_buffer(b"")])
+
+
 def _mapped(df: DataFrame, keys: list[str], column: str, out: str, make) -> DataFrame:
-    """``keys`` and the binary column ``out`` = make()(values of ``column``, a list), made once a task."""
+    """``keys`` and the binary column ``out`` = make()(values of ``column``, an Arrow array), made once a task."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import BinaryType, StructField, StructType
 
@@ -322,16 +384,15 @@ def _mapped(df: DataFrame, keys: list[str], column: str, out: str, make) -> Data
         f = make()
         schema = to_arrow_schema(want)
         for batch in batches:
+            size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(n)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
             start = 0
             while start < batch.num_rows:
-                values, size = [], 0
-                while start + len(values) < batch.num_rows and size < BATCH_BYTES:
-                    values.append(batch.column(n)[start + len(values)].as_py())
-                    size += len(values[-1] or "")
-                part = batch.slice(start, len(values))
+                before = size[start - 1] if start else 0
+                end = max(start + 1, int(np.searchsorted(size, before + BATCH_BYTES, "right")))
+                part = batch.slice(start, end - start)
                 columns = [part.column(k).cast(schema.field(k).type) for k in range(n)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(f(values), pa.binary())], names=schema.names)
-                start += len(values)
+                yield pa.RecordBatch.from_arrays([*columns, f(part.column(n))], names=schema.names)
+                start = end
 
     return df.select(*keys, F.col(column).alias("__value")).mapInArrow(run, want)
 
@@ -354,7 +415,7 @@ def encode(df: DataFrame, keys: list[str], text: str, ranks_path: str, pattern:
             _ENCODERS.clear()
             ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in raw.value.splitlines() if x.strip())}
             _ENCODERS[key] = Encoder(ranks, pattern)
-        return _ENCODERS[key].encode_many
+        return _ENCODERS[key].encode_array
 
     return _mapped(df, keys, text, "ids", make)
 
@@ -368,17 +429,25 @@ def decode(df: DataFrame, keys: list[str], ids: str, ranks_path: str) -> DataFra
         raw = df.sparkSession.sparkContext.broadcast(f.read())
 
     def make():
-        import sys
-
-        tokens = {int(b): base64.b64decode(a) for a, b in (x.split() for x in raw.value.splitlines() if x.strip())}
-
-        def back(blob):
-            codes = array("I", blob or b"")
-            if sys.byteorder == "big":
-                codes.byteswap()
-            return b"".join(map(tokens.__getitem__, codes))
-
-        return lambda blobs: [back(b) for b in blobs]
+        found = {int(b): base64.b64decode(a) for a, b in (x.split() for x in raw.value.splitlines() if x.strip())}
+        tokens = pa.array([found.get(i) for i in range(max(found, default=-1) + 1)], pa.large_binary())
+
+        def back(blobs: pa.Array) -> pa.Array:
+            blobs = pc.fill_null(blobs, b"")
+            ends = np.concatenate(([0], np.cumsum(pc.binary_length(blobs).to_numpy(zero_copy_only=False), dtype=np.int64)))
+            _, offsets, data = blobs.buffers()
+            start = int(np.frombuffer(offsets, np.int32, 1, blobs.offset * 4)[0])
+            if (ends % 4).any():
+                raise ValueError("ids are 4 bytes each")
+            codes = np.frombuffer(data, "<u4", int(ends[-1]) // 4, start) if ends[-1] else np.zeros(0, "<u4")
+            if len(codes) and codes.max() >= len(tokens):
+                raise ValueError("ids that the vocabulary does not have")
+            parts = tokens.take(pa.array(codes.astype(np.int64)))
+            if parts.null_count:
+                raise ValueError("ids that the vocabulary does not have")
+            return _joined(parts, ends // 4)
+
+        return back
 
     return _mapped(df, keys, ids, "decoded", make)
 

@@ -5,11 +5,14 @@ import hashlib
 import random
 import re
 import zlib
+from unittest import mock
 
 import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -67,6 +70,50 @@ def test_rank_queue_one_by_one_and_all_at_once():
     assert all(b"".join(t for i in ids for t, r in ((bytes(k), v) for k, v in ranks.items()) if r == i) == p for p, ids in [(pieces[0], encoder.merge(pieces[0]))])
 
 
+ODD_TEXTS = ["\x01\x02", "~}", "a\x85b c", "it's 's  \n q", " ", "  ", "\n", "a\x1c b", "a \x1cb", " a", "a ", "a\n", "a\n\n b", "\u3000x y\u2028 z", "'s 't", "x\u00a0 y", "1 2 ３ ²", "\U0001f600 \U0001f600", "a" * 3000 + " b", ""]
+
+
+@pytest.fixture(scope="module")
+def byte_level():
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return ranks, tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), bpe.Encoder(ranks, public_tokenizers.PATTERN)
+
+
+def test_bpe_of_odd_texts_alone_and_together(byte_level):
+    ranks, known, encoder = byte_level
+    want = [array.array("I", known.encode_ordinary(t)).tobytes() for t in ODD_TEXTS]
+    assert [bpe.Encoder(ranks, public_tokenizers.PATTERN).encode(t) for t in ODD_TEXTS[:4]] == want[:4]  # nothing cached
+    assert [encoder.encode(t) for t in ODD_TEXTS] == want
+    assert encoder.encode_many([*ODD_TEXTS, None]) == [*want, b""]
+    assert encoder.encode_many([]) == [] and encoder.merge_many([]) == []
+
+
+@given(st.lists(st.text(st.one_of(st.characters(codec="utf-8"), st.sampled_from(" \n\t\x85\x1c'stab~}é1")), max_size=40), max_size=4), st.sampled_from([8, 1 << 20]))
+@settings(max_examples=400, deadline=None)
+def test_bpe_of_any_text(byte_level, texts, at_once):
+    _, known, encoder = byte_level
+    with mock.patch.object(bpe, "MERGED_BYTES", at_once), mock.patch.object(bpe, "CACHE_WORDS", 3):
+        for part in (texts, texts[:1], texts):
+            assert encoder.encode_many(part) == [array.array("I", known.encode_ordinary(t)).tobytes() for t in part]
+
+
+def test_bpe_of_another_pattern_reads_whole_texts(byte_level):
+    ranks, pattern = byte_level[0], r"\w+ \w+|\s+|\w+|[^\w\s]+"  # its pre-tokens span spaces
+    known = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    texts = ["one two three", "a b  c!", " x", None]
+    assert bpe.Encoder(ranks, pattern).encode_many(texts) == [array.array("I", known.encode_ordinary(t or "")).tobytes() for t in texts]
+    assert bpe.CUT_AT_SPACES == public_tokenizers.PATTERN
+
+
+def test_bpe_runs_on_a_batch_without_any_merge_and_refuses_unknown_ids(spark):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    out = bpe.encode(spark.createDataFrame([(1, "\x01\x02")], "doc_id long, text string"), ["doc_id"], "text", path, public_tokenizers.PATTERN)
+    assert bytes(bpe.decode(out, ["doc_id"], "ids", path).first().decoded) == b"\x01\x02"
+    for bad in (b"\xff\xff\xff\x7f", b"\x01\x02"):
+        with pytest.raises(Exception, match="ids"):
+            bpe.decode(out.withColumn("ids", F.lit(bad)), ["doc_id"], "ids", path).collect()
+
+
 def brute_fingerprint(text):
     from xxhash import xxh64_intdigest as h
 
