@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -138,39 +139,91 @@ def test_embeddings_equal_brute_force(spark, monkeypatch):
 
 def test_html_blocks():
     page = "<head><title>T</title></head><nav>menu</nav><div class='cookie-notice'>ok?</div><article><header><h1>Head &amp; line</h1></header><p>One <b>two<br>three</b>\n four<p>&lt;i&gt; &#233;<aside>no</aside><div class=comments>bad</div><script>1<2</script></article><footer>f</footer>"
-    assert html.texts([page, None, "", "<p>only</p>"], [1, 2, 3, 4]) == ["Head & line\n\nOne two three four\n\n<i> é", "", "", "only"]
+    assert html.blocks(page) == [("menu", -1), ("ok?", -1), ("Head & line", 1), ("One two three four", 1), ("<i> é", 1), ("no", -1), ("bad", -1), ("f", -1)]
     assert html.blocks("a < b <!-- c --> d") == [("a < b d", 0)]
-
-
-def test_host_suffix_array_removes_what_pages_share():
-    menu = "home news sport weather travel culture science contact imprint"
-    pages = [f"<div>{menu} today</div><div>unique text number {i} stands here alone</div><div>Log in</div>" for i in range(3)]
-    assert html.texts(pages, [0, 1, 2]) == [f"unique text number {i} stands here alone" for i in range(3)]
-    assert html.texts(pages[:1] * 2, [7, 7])[0].startswith(menu)  # copies of one page are one page
-
-
-def test_host_suffix_array_judges_open_text_beside_an_article():
-    menu = "home news sport weather travel culture science contact imprint"
-    pages = [f"<div>{menu} today</div><div>Lead number {i} before the article</div><article><p>Body {i}</p></article><div>Log in</div>" for i in range(3)]
-    assert html.texts(pages, [0, 1, 2]) == [f"Lead number {i} before the article\n\nBody {i}" for i in range(3)]
-
-
-def test_html_finds_what_pages_of_different_groups_share(spark, monkeypatch):
-    monkeypatch.setattr(html, "GROUP", 3)
+    assert html.blocks(None) == html.blocks("") == []
+    assert html.blocks("x<svg/>y<svg>no</svg>z<svg>w") == [("xyzw", 0)]  # an unclosed one is a tag alone
+    assert html.blocks("<p title='a>b'>one <a href=\"x>two</a> three <i") == [("one two three <i", 0)]  # quotes that never close
+    assert html.blocks("<div hidden>no</div><p data-class='ad'>yes</p>&#" + "1" * 5000 + ";") == [("no", -1), ("yes", 0), ("\ufffd", 0)]
+
+
+@pytest.mark.parametrize("part", ["<a", "<a \"'>", "<a '\"> ", "<div>", "<svg>", "</script", "<", "<!--", "<p>", "</nav", "&#1", "class "])
+def test_html_pages_of_one_megabyte_take_linear_time(part):
+    n = 1_000_000 // len(part)
+    for page in (part * n, part * n + ">", "<div " + part * n + ">", "<div>" * 50_000 + "<script>" + part * n):
+        start = time.process_time()
+        html.blocks(page)
+        assert time.process_time() - start < 5
+
+
+def brute_texts(rows):
+    """Main text of (page_id, url, html) by sets of word tuples."""
+    parsed = [(i, (re.search(r"://([^/?#]*)", u or "") or [None, ""])[1].lower(), html.blocks(h)) for i, u, h in rows]
+    grams = lambda w: [tuple(w[p : p + 8]) for p in range(max(1, len(w) - 7))]
+    pages = {}
+    for i, host, found in parsed:
+        for text, kind in found:
+            if kind <= 0:
+                for g in grams(text.split(" ")):
+                    pages.setdefault((host, g), set()).add(i)
+    out = []
+    for i, host, found in parsed:
+        parts = []
+        for text, kind in found:
+            words = text.split(" ")
+            gone = [False] * len(words)
+            if kind == 0:
+                for p, g in enumerate(grams(words)):
+                    if len(pages[host, g]) > 1:
+                        gone[p : p + 8] = [True] * len(gone[p : p + 8])
+            if kind >= 0:
+                parts.append(" ".join(w for w, x in zip(words, gone, strict=True) if not x))
+        out.append((i, "\n\n".join(p for p in parts if p)))
+    return out
+
+
+def sites():
+    """A hot host of 60 pages, small ones, menus that only some pages mark, notices on two pages, copies, odd rows."""
     rng = random.Random(8)
     say = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
-    notice, short = [say(12) for _ in range(20)], [say(2) for _ in range(20)]  # each on two pages of a host
-    rows = [(i, f"http://{host}/{i}", f"<div>{say(9)} {notice[i % 20]} {say(1)}</div><p>{short[i % 20]}</p><div>{say(20)}</div>") for host, ids in (("a.org", range(40)), ("b.org", range(100, 102)), ("c.org", range(200, 220))) for i in ids]
-    rows += [rows[45], (None, "http://a.org/", None)]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    want = []
-    for host in ("a.org", "b.org", "c.org"):
-        of = [r for r in rows if host in r[1]]
-        want += zip([r[0] for r in of], html.texts([r[2] for r in of], [-1 if r[0] is None else r[0] for r in of]), strict=True)
-    assert not any(n in t for i, t in want if i is not None and i < 40 for n in notice + short)
-    for listed in (50_000, 0):
-        monkeypatch.setattr(html, "LISTED", listed)
-        assert sorted(((r.page_id, r.text) for r in html.extract(df).collect()), key=repr) == sorted(want, key=repr)
+    menu, notice, short, passage = say(14), [say(12) for _ in range(30)], [say(2) for _ in range(30)], say(40)
+    rows = []
+    for host, ids in (("hot.org", range(60)), ("b.org", range(100, 102)), ("C.org", range(200, 220)), ("one.org", range(300, 301))):
+        for i in ids:
+            bar = f"<nav>{menu}</nav>" if i % 2 else f"<div>{menu} {say(1)}</div>"
+            lead = f"<div>{say(9)} {notice[i % 30]} {say(1)}</div><p>{short[i % 30]}</p>"
+            main = f"<article><p>{passage}</p><p>{say(20)}</p></article>" if i % 3 else f"<div>{say(30)}</div>"
+            rows.append((i, f"http://{host}/{i}", bar + lead + main + f"<footer>{say(3)}</footer><div>{say(3)}</div>"))
+    rows += [rows[45], rows[0], (None, "http://hot.org/", None), (None, "http://hot.org/x", f"<p>{say(12)}"), (None, "http://hot.org/y", rows[45][2]), (400, None, f"<p>{menu}"), (401, "", f"<p>{menu}"), (402, "http://d.org/", "<p>" + say(3000))]
+    return rows
+
+
+def test_html_query_equals_brute_force(spark, monkeypatch):
+    rows = sites()
+    df = spark.createDataFrame([(*r, "a", 1) for r in rows], "page_id long, url string, html string, text string, row int").repartition(7)
+    want = sorted(brute_texts(rows), key=repr)
+    assert sum(len(t) for _, t in want) < sum(len(" ".join(b for b, k in html.blocks(h) if k >= 0)) for _, _, h in rows) * 0.9
+    for size in (400_000, 50, 1):  # any cut into local arrays gives the same
+        monkeypatch.setattr(html, "CHUNK_WORDS", size)
+        assert sorted(((r.page_id, r.text) for r in html.extract(df).collect()), key=repr) == want
+    assert html.extract(df.repartition(1)).count() == len(rows)
+
+
+def test_html_array_finds_marked_boilerplate_too(spark):
+    rows = sites()
+    got = {r.kind: r for r in html.coverage(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[-1].covered_words > 0.6 * got[-1].words  # the menus, not the footers
+    assert 0 < got[0].covered_words < got[0].words
+
+
+def test_local_array_gives_every_substring_once():
+    streams = [["a"] * 12, ["a"] * 8, ["b", "a"], ["b", "a"], ["b", "a", "c"], [str(i) for i in range(10)]]
+    rows = list(html.local_array(streams, [0, 0, 0, 1, 0, 0], [5, 3, 1, 1, 2, 9]))
+    got = sorted((tuple(streams[b][p : p + 8]), [0, 0, 0, 1, 0, 0][b], lo, hi) for b, p, lo, hi in rows)
+    digits = [str(i) for i in range(10)]
+    want = [(tuple(["a"] * 8), 0, 3, 5), (("b", "a"), 0, 1, 1), (("b", "a"), 1, 1, 1), (("b", "a", "c"), 0, 2, 2), *((tuple(digits[i : i + 8]), 0, 9, 9) for i in range(3))]
+    assert got == sorted(want)
+    assert list(html.local_array([], [], [])) == []
 
 
 def test_html_query_equals_plain_parse(spark):
