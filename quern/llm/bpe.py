@@ -30,9 +30,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of ids or text in one output batch, words a worker remembers, longest word it remembers.
-BATCH_BYTES, CACHE_WORDS, CACHE_CHARS = 8 << 20, 150_000, 64
+BATCH_BYTES, CACHE_WORDS, CACHE_CHARS = 3 << 20, 80_000, 64
 #: Bytes of pre-tokens that one rank queue merges; the hash table of pairs.
-MERGED_BYTES, _SLOT_BITS, _SPREAD = 1_500_000, 20, np.uint64(0x9E3779B97F4A7C15)
+MERGED_BYTES, _SLOT_BITS, _SPREAD = 600_000, 20, np.uint64(0x9E3779B97F4A7C15)
 #: Fixed value: the pattern whose pre-tokens never span the place before a space that stands between two characters that are no
 #: white space.  Texts are cut there first if they are to be cut by this pattern; any other pattern reads whole texts.
 CUT_AT_SPACES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
