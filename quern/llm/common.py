@@ -1,63 +1,16 @@
-"""Pieces shared by the training-data operators: shared tables, components, text columns."""
+"""Pieces shared by the training-data operators: components, letters, names that are free."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.shared import drop_table, shared_table
+
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    ``spark.checkpoint.dir`` names it on a cluster.  Only where that is unset (a local session,
-    as in tests) does a temporary folder of this machine take its place.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", spark.sparkContext.applicationId)
-
-
-def shared_table(df: DataFrame, name: str, keep: tuple[str, ...] | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder as Parquet and read it again.
-
-    This cuts the lineage: a lost executor costs the tasks it ran, never the stages before the
-    table, and what non-repeatable steps decided (partition numbers) stays decided.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quern-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._quern_path = path
-    return out
-
-
-def drop_table(df: DataFrame | None) -> None:
-    """Delete a table of ``shared_table`` that nothing reads any more."""
-    path = getattr(df, "_quern_path", None)
-    if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def shrink(spark: SparkSession) -> None:
-    """Let Spark's context cleaner delete shuffle files of stages that a shared table replaced."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _forest(batches):
     """Edges of one partition -> a star forest with the same components (union-find)."""
     import pandas as pd
@@ -83,12 +36,24 @@ def _forest(batches):
     yield pd.DataFrame({"u": nodes, "v": [find(x) for x in nodes]}, dtype="int64")
 
 
+def free_names(columns: list[str], *wanted: str) -> list[str]:
+    """``wanted``, each with as many underscores behind it as it takes to differ from ``columns``, whatever their case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """``edges`` (u long, v long) -> (node, component) with component the smallest node reachable.
 
     Alternating large-star and small-star rounds, each written to the shared folder; the driver sees
     only a row count and a checksum a round.  Each partition first contracts its own edges to a star
-    forest.  Nodes without an edge are not returned.  Null ends are ignored.
+    forest.  Every node of an edge between two nodes is returned, the component's smallest too; a node without such an
+    edge is not.  Null ends are ignored.
     """
     cur = shared_table(
         edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
@@ -111,10 +76,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         new = shared_table(small.where("u <> v").distinct(), "edges")
         drop_table(cur)
         cur = new
-    return cur.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
-
-
-def with_components(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
-    """``nodes`` plus ``component``: that of ``connected_components``, or the key itself."""
-    comp = connected_components(edges).withColumnRenamed("node", key)
-    return nodes.join(comp, key, "left").withColumn("component", F.least(F.coalesce("component", key), key))
+    # stars by now: leaves name their centre, and centres name themselves
+    named = cur.unionAll(cur.select(F.col("v").alias("u"), "v"))
+    return named.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")

@@ -21,7 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import connected_components, shared_table
+from quern.llm.common import connected_components
+from quern.shared import drop_table, shared_table
 
 THRESHOLD, BLOCK = 0.93, 2048
 #: Covers what double and float arithmetic may add to the bound.

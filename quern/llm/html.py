@@ -36,8 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import shared_table
 from quern.llm.urls import host_of
+from quern.shared import shared_table
 
 #: Words of a long substring (a power of two); words of a local suffix array; bytes of an output batch.
 LONG, CHUNK_WORDS, BATCH_BYTES = 8, 400_000, 4 << 20
@@ -256,32 +256,36 @@ def _pieces(words: list[str], size: int) -> Iterator[list[str]]:
         yield words[i : i + size + LONG - 1]
 
 
-def _suffixes(batches):
-    """(host, page, texts) -> (digest, low, high): each chunk's distinct substrings with their smallest and largest page."""
-    for batch in batches:
-        streams, hosts, pages, size = [], [], [], 0
-        names: dict[str, int] = {}
+def _suffixes(chunk: int):
+    """(host, page, texts) -> (digest, low, high): the distinct substrings of each ``chunk`` words with their smallest and largest page."""
 
-        def made():
-            rows = list(local_array(streams, hosts, pages))  # noqa: B023
-            of = list(names)  # noqa: B023
-            found = [digest(of[hosts[b]], streams[b][p : p + LONG]) for b, p, _, _ in rows]  # noqa: B023
-            return pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64())], names=["digest", "low", "high"])
+    def run(batches):
+        for batch in batches:
+            streams, hosts, pages, size = [], [], [], 0
+            names: dict[str, int] = {}
 
-        for i in range(batch.num_rows):
-            host, page = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-            for text in batch.column(2)[i].as_py():
-                for piece in _pieces(text.split(" "), CHUNK_WORDS):
-                    if size + len(piece) > CHUNK_WORDS and streams:
-                        yield made()
-                        streams, hosts, pages, size = [], [], [], 0
-                        names = {}
-                    streams.append(piece)
-                    hosts.append(names.setdefault(host, len(names)))
-                    pages.append(page)
-                    size += len(piece) + LONG
-        if streams:
-            yield made()
+            def made():
+                rows = list(local_array(streams, hosts, pages))  # noqa: B023
+                of = list(names)  # noqa: B023
+                found = [digest(of[hosts[b]], streams[b][p : p + LONG]) for b, p, _, _ in rows]  # noqa: B023
+                return pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64())], names=["digest", "low", "high"])
+
+            for i in range(batch.num_rows):
+                host, page = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                for text in batch.column(2)[i].as_py():
+                    for piece in _pieces(text.split(" "), chunk):
+                        if size + len(piece) > chunk and streams:
+                            yield made()
+                            streams, hosts, pages, size = [], [], [], 0
+                            names = {}
+                        streams.append(piece)
+                        hosts.append(names.setdefault(host, len(names)))
+                        pages.append(page)
+                        size += len(piece) + LONG
+            if streams:
+                yield made()
+
+    return run
 
 
 def _asked(batches):
@@ -340,17 +344,17 @@ def _texts(condition):
     return F.transform(F.filter("blocks", lambda b: condition(b["kind"])), lambda b: b["text"])
 
 
-def repeated(parsed: DataFrame) -> DataFrame:
+def repeated(parsed: DataFrame, chunk: int = CHUNK_WORDS) -> DataFrame:
     """The digests of all substrings outside articles that distinct pages of a host share."""
     outside = parsed.select("host", "page", _texts(lambda k: k <= 0).alias("texts")).where(F.size("texts") > 0)
-    arrays = outside.mapInArrow(_suffixes, "digest binary, low long, high long")
+    arrays = outside.mapInArrow(_suffixes(chunk), "digest binary, low long, high long")
     return arrays.groupBy("digest").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("digest")
 
 
-def answers(asking: DataFrame, parsed: DataFrame, condition) -> DataFrame:
+def answers(asking: DataFrame, parsed: DataFrame, condition, chunk: int = CHUNK_WORDS) -> DataFrame:
     """(row, digests): the repeated substrings in those blocks of the pages ``asking`` for whose kinds ``condition`` holds."""
     asked = asking.select("row", "host", _texts(condition).alias("texts")).mapInArrow(_asked, "row long, digest binary")
-    return asked.join(repeated(parsed), "digest").groupBy("row").agg(F.collect_list("digest").alias("digests"))
+    return asked.join(repeated(parsed, chunk), "digest").groupBy("row").agg(F.collect_list("digest").alias("digests"))
 
 
 def coverage(pages: DataFrame) -> DataFrame:
@@ -373,8 +377,8 @@ def coverage(pages: DataFrame) -> DataFrame:
     return told.groupBy("kind").agg(*[F.sum(c).alias(c) for c in ("blocks", "words", "covered_words")])
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """(page_id, url, html) -> page_id, url, text."""
+def extract(pages: DataFrame, chunk: int = CHUNK_WORDS) -> DataFrame:
+    """(page_id, url, html) -> page_id, url, text; ``chunk`` words are in a local suffix array, which bounds memory alone."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     parsed = parse(pages)
@@ -392,7 +396,7 @@ def extract(pages: DataFrame) -> DataFrame:
                 text = pa.array(["\n\n".join(p for p in parts if p)], pa.string())
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(key_type), part.column(1), text], names=["page_id", "url", "text"])
 
-    told = waiting.join(answers(waiting, parsed, lambda k: k == 0), "row", "left").select("page_id", "url", "host", "blocks", "digests")
+    told = waiting.join(answers(waiting, parsed, lambda k: k == 0, chunk), "row", "left").select("page_id", "url", "host", "blocks", "digests")
     return done.unionByName(told.mapInArrow(cut, f"page_id {kind.simpleString()}, url string, text string"))
 
 

@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import connected_components, shared_table, shrink
+from quern.llm.common import connected_components, free_names
+from quern.shared import drop_table, shared_table
 
 SHINGLE, SEED, MAX_BITS, HOT = 3, 42, 3, 1 << 16
 #: Shingles whose bits are counted at once.
@@ -170,7 +171,6 @@ def near_classes(df: DataFrame, key: str, text: str) -> DataFrame:
     named = distinct.join(comp, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = named.groupBy("component").agg(F.min("least").alias("name"))
     names = shared_table(named.join(least, "component").select("fp", F.col("name").alias("component"), F.col("component").alias("class")), "names")
-    shrink(df.sparkSession)
     return fps.join(names, "fp")
 
 

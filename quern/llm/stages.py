@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from quern.llm import packing as packs
 from quern.llm import simhash, substrings
 from quern.llm import toxicity as toxic
-from quern.llm.common import shrink
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,5 +43,4 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, as of ``op8_packing``."""
-    shrink(spark)
     return packs.packed(docs)

@@ -25,7 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import shared_table
+from quern.shared import drop_table, shared_table
+
 
 SCALE, K = 1024, 10
 #: Candidates and queries in a block.

@@ -198,14 +198,13 @@ def sites():
     return rows
 
 
-def test_html_query_equals_brute_force(spark, monkeypatch):
+def test_html_query_equals_brute_force(spark):
     rows = sites()
     df = spark.createDataFrame([(*r, "a", 1) for r in rows], "page_id long, url string, html string, text string, row int").repartition(7)
     want = sorted(brute_texts(rows), key=repr)
     assert sum(len(t) for _, t in want) < sum(len(" ".join(b for b, k in html.blocks(h) if k >= 0)) for _, _, h in rows) * 0.9
     for size in (400_000, 50, 1):  # any cut into local arrays gives the same
-        monkeypatch.setattr(html, "CHUNK_WORDS", size)
-        assert sorted(((r.page_id, r.text) for r in html.extract(df).collect()), key=repr) == want
+        assert sorted(((r.page_id, r.text) for r in html.extract(df, size).collect()), key=repr) == want
     assert html.extract(df.repartition(1)).count() == len(rows)
 
 

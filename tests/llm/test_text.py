@@ -9,6 +9,7 @@ from unittest import mock
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -204,10 +205,110 @@ def test_substrings_equal_brute_force(docs, none):
     assert substrings.dedup(none).count() == 0
 
 
-def test_factors_cover_every_known_window():
-    known = np.array([0, 1, 1, 0, 0, 1, 0], bool)
-    assert substrings.factors(known) == [(1, 14), (5, 13)]
-    assert substrings.factors(np.zeros(0, bool)) == []
+def in_process(rows, batch=3, rng=None):
+    """The steps of substrings in this process, shuffles by sorting: (doc_id, row, text) -> factors."""
+    rng = rng or random.Random(0)
+
+    def batches(table, n):
+        return (b for b in table.combine_chunks().to_batches(max_chunksize=n))
+
+    def table(made, like=None):
+        made = list(made)
+        return pa.Table.from_batches(made) if made else like
+
+    docs = pa.table({"key": pa.array([r[0] for r in rows], pa.int64()), "text": pa.array([r[2].encode() for r in rows])})
+    found = table(substrings._anchors(batches(docs, batch)))
+    if found is None:
+        return []
+    shared = table(substrings._shared(batches(found.sort_by("anchor"), rng.randint(1, 9)))).to_pylist()
+    wanted = {}
+    for r in shared:
+        if r["key"] is not None:
+            wanted.setdefault(r["key"], []).append(r["anchor"])
+    pairs = sum(r["n"] for r in shared if r["anchor"] is None)
+    common = np.sort(np.array([r["anchor"] for r in shared if r["key"] is None and r["anchor"] is not None and r["n"] > max(substrings.HOT, pairs // substrings.FREQUENT)], np.int64))
+    asking = [r for r in rows if r[0] in wanted]
+    if not asking:
+        return []
+    asking = pa.table({"key": pa.array([r[0] for r in asking], pa.int64()), "row": pa.array([r[1] for r in asking], pa.int64()), "text": pa.array([r[2].encode() for r in asking]), "anchors": pa.array([wanted[r[0]] for r in asking], pa.list_(pa.int64()))})
+    around = table(substrings._passages(mock.Mock(value=common))(batches(asking, batch)))
+    if around is None:
+        return []
+    out = table(substrings._factors(batches(around.sort_by([("block", "ascending"), ("key", "ascending")]), rng.randint(1, 9))))
+    return [] if out is None else out.to_pylist()
+
+
+def removed(rows, factors):
+    gone = {}
+    for f in factors:
+        gone.setdefault((f["key"], f["row"]), []).append(f)
+    out = []
+    for i, row, text in rows:
+        words = text.split(" ") if text else []
+        cut = [False] * len(words)
+        for at, n, *_ in substrings.spans(gone.get((i, row), [])):
+            cut[at : at + n] = [True] * n
+        kept = " ".join(w for w, g in zip(words, cut, strict=True) if not g)
+        out.append((i, len(words), sum(cut), hashlib.sha256(kept.encode()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("hashes", ["own", "one for all words", "few"])
+@pytest.mark.parametrize("hot", [4096, 2, 0])
+@pytest.mark.parametrize("batch", [1, 4, 1000])
+def test_factors_do_not_trust_hashes(monkeypatch, hashes, hot, batch):
+    """Every word with one hash (one anchor in every document), few hashes, common anchors with a block a window."""
+    if hashes != "own":
+        few = 1 if hashes == "one for all words" else 3
+        monkeypatch.setattr(substrings, "word_codes", lambda words: np.array([len(w) % few for w in words], np.uint64))
+    monkeypatch.setattr(substrings, "HOT", hot)
+    monkeypatch.setattr(substrings, "FREQUENT", 1000 if hot else 10**9)
+    for seed in range(6):
+        rng = random.Random(seed)
+        vocabulary = ["a", "bb", "ccc"] if seed % 2 else [chr(97 + i) * (1 + i % 4) for i in range(12)]
+        lines = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(8, 40))) for _ in range(6)]
+        texts = [" ".join(rng.choice([*lines, rng.choice(vocabulary)]) for _ in range(rng.randint(0, 6))) for _ in range(25)] + ["a " * 200 + "a", "a " * 90 + "b"]
+        rows = [(rng.randint(0, 20), k, t.strip()) for k, t in enumerate(texts)]
+        found = in_process(rows, batch, rng)
+        assert removed(rows, found) == brute_removed([(i, t) for i, _, t in rows])
+        by_row = {(i, k): t.split(" ") for i, k, t in rows}
+        sources = {}
+        for i, _, t in rows:
+            sources.setdefault(i, []).append(t.split(" "))
+        for f in found:  # every factor stands where it says, in a document of a smaller id
+            words = by_row[f["key"], f["row"]][f["at"] : f["at"] + f["n"]]
+            assert f["n"] >= 13 and f["source"] < f["key"]
+            assert any(w[f["source_at"] : f["source_at"] + f["n"]] == words for w in sources[f["source"]])
+
+
+def test_greedy_factors_are_longest_and_boundaries_are_checked():
+    block, words = substrings.Block(), [f"w{i}" for i in range(60)]
+    say = lambda a, b: " ".join(words[a:b]).encode()
+    assert block.factors(1, 100, say(0, 30)) == []
+    assert block.factors(2, 0, say(10, 50)) == [(0, 20, 1, 110)]
+    assert block.factors(2, 70, say(10, 50)) == [(70, 20, 1, 110)]  # its own passage is no source
+    # words 0-29 stand in 1, 10-49 in 2: the next factor starts at the first window that the first does not hold
+    assert block.factors(3, 0, say(0, 60)) == [(0, 30, 1, 100), (18, 32, 2, 8)]
+    assert substrings.spans([{"at": a, "n": n, "source": s, "source_at": t} for a, n, s, t in ((20, 15, 1, 30), (0, 14, 1, 10), (12, 13, 1, 22), (30, 13, 2, 0))]) == [(0, 35, 1, 10), (30, 13, 2, 0)]
+
+
+def test_passages_of_a_long_run_are_cut(monkeypatch):
+    found = np.array([5] * 150 + [7] * 3 + [5] * 64, np.int64)
+    start, n = substrings.passages(found)
+    assert start.tolist() == [0, 64, 128, 150, 153] and n.tolist() == [64, 64, 22, 3, 64]
+
+
+def test_substring_spans_name_their_source(spark):
+    rng = random.Random(12)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    rows = [(7, " ".join(words[:200])), (9, " ".join(["x"] * 5 + words[20:120] + ["y"] * 3 + words[150:190])), (3, "one"), (9, "two")]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, `__words` int, `__factors` int").repartition(4)
+    out = substrings.dedup(df)
+    assert out.columns == ["doc_id", "text", "__words", "__factors", "__words_", "__removed", "__spans", "__kept"]
+    got = {(r.doc_id, r.text): [tuple(s) for s in r["__spans"]] for r in out.collect()}
+    assert got[rows[1]] == [(5, 100, 7, 20), (108, 40, 7, 150)] and got[rows[0]] == got[rows[2]] == got[rows[3]] == []
+    with pytest.raises(ValueError, match="integer"):
+        substrings.dedup(df.withColumn("doc_id", F.col("doc_id").cast("string")))
 
 
 def test_packing_is_gapless_and_whole(docs, none):
@@ -269,4 +370,4 @@ def test_components_of_a_long_chain(spark):
     n = 300
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, n, 1) if i % 100 != 99] + [(5, 5), (None, 3)], "u long, v long").repartition(5)
     got = {r.node: r.component for r in connected_components(edges).collect()}
-    assert got == {i: i // 100 * 100 for i in range(n)} | {n: n}
+    assert got == {i: i // 100 * 100 for i in range(n)}  # an edge of a node with itself is none
