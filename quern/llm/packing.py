@@ -4,10 +4,12 @@ Pass one tokenises every document once and writes the ids to a table in the shar
 the number of its write task ("part") and the ids that came before it in that part.  Totals by part, one row
 for each write task, give prefix sums: the global offset of every part and so of every document.  Pass two reads
 the table and cuts each document at the multiples of the window; a piece is a boundary record (document, start,
-length, sequence, offset) with its ids.  Neither pass shuffles a token.
+length, sequence, offset) with its ids.  Neither pass shuffles a token: the bases are broadcast if there are at most
+``FEW_PARTS`` parts, and joined by a shuffle of the table beyond that.
 
 The table settles what a retry could change (which task a row fell to), so a lost executor in pass two
-repeats reads only.  The part totals are collected: one row per write task, which the driver tracks anyhow.
+repeats reads only.  Nothing but the highest part number is collected: the totals, one row for each write task, are summed up
+by windows and meet the table in a join on the part.
 
 Every sequence but the last is full; the last is padded to the window unless its length is a power of two, so the
 padding of the whole corpus is below one window.
@@ -26,13 +28,15 @@ import json
 from array import array
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.shared import shared_table
 
 WINDOW, END_ID = 2048, 1
 BATCH_BYTES = 4 << 20
+#: Parts whose totals one task sums up; parts whose bases are broadcast (16 MB of numbers), more of them are joined by a shuffle.
+LEVEL, FEW_PARTS = 10_000, 1_000_000
 
 
 #: The worker's encoding, by vocabulary.
@@ -86,23 +90,33 @@ def tokenized(df: DataFrame, key: str, text: str, ranks_path: str, pattern: str,
 
 
 def pack(table: DataFrame, key: str, window: int = WINDOW) -> DataFrame:
-    """Pieces of the rows of ``tokenized``: key, start, length, ids, doc_tokens, sequence_id, offset (longs; ids binary)."""
-    totals = sorted((r[0], r[1]) for r in table.groupBy("part").agg(F.sum("n")).collect())
-    bases = dict(zip([p for p, _ in totals], itertools.accumulate([0, *(n for _, n in totals)]), strict=False))
+    """Pieces of the rows of ``tokenized``: key, start, length, ids, doc_tokens, sequence_id, offset (longs; ids binary).
+
+    The second of the two passes: the totals of the parts, a row each, are summed up in order of the part by a window, and each row gets
+    what its part starts at by a join on the part.
+    """
+    totals = table.groupBy("part").agg(F.sum("n").alias("total"))
+    # prefix sums in two levels, so that no task orders more than LEVEL parts or the totals of the LEVEL-th of them
+    totals = totals.withColumn("level", F.floor(F.col("part") / LEVEL))
+    levels = totals.groupBy("level").agg(F.sum("total").alias("of_level"))
+    before = Window.orderBy("level").rowsBetween(Window.unboundedPreceding, -1)
+    levels = levels.withColumn("until", F.coalesce(F.sum("of_level").over(before), F.lit(0))).select("level", "until")
+    within = Window.partitionBy("level").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.withColumn("inside", F.coalesce(F.sum("total").over(within), F.lit(0))).join(levels, "level").select("part", (F.col("until") + F.col("inside")).alias("base"))
     kind = table.schema["key"].dataType.simpleString()
 
     def run(batches):
         names = ["key", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
         for batch in batches:
             rows, pieces, size = [], [[] for _ in names[1:]], 0
-            parts, befores, ns = (batch.column(i).to_pylist() for i in (1, 2, 3))
+            starts, ns = (batch.column(i).to_pylist() for i in (1, 2))
 
             def flush():
                 return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), *(pa.array(x, pa.binary() if k == 2 else pa.int64()) for k, x in enumerate(pieces))], names=names)  # noqa: B023
 
             for i in range(batch.num_rows):
-                base, n = bases[parts[i]] + befores[i], ns[i]
-                ids = memoryview(batch.column(4)[i].as_buffer())
+                base, n = starts[i], ns[i]
+                ids = memoryview(batch.column(3)[i].as_buffer())
                 at = 0
                 while at < n:
                     sequence, offset = divmod(base + at, window)
@@ -118,7 +132,11 @@ def pack(table: DataFrame, key: str, window: int = WINDOW) -> DataFrame:
             if rows:
                 yield flush()
 
-    out = table.select("key", "part", "before", "n", "ids").mapInArrow(run, f"key {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    parts = (table.agg(F.max("part")).first()[0] or 0) + 1
+    if parts <= FEW_PARTS:
+        bases = F.broadcast(bases)
+    placed = table.join(bases, "part").select("key", (F.col("base") + F.col("before")).alias("at"), "n", "ids")
+    out = placed.mapInArrow(run, f"key {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
     return out.withColumnRenamed("key", key)
 
 

@@ -311,11 +311,15 @@ def test_substring_spans_name_their_source(spark):
         substrings.dedup(df.withColumn("doc_id", F.col("doc_id").cast("string")))
 
 
-def test_packing_is_gapless_and_whole(docs, none):
-    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    rows = packing.pack(packing.tokenized(docs, "doc_id", "text", path, public_tokenizers.PATTERN), "doc_id", 256).collect()
+@pytest.mark.parametrize("level,few", [(10_000, 1_000_000), (2, 0)])
+def test_packing_is_gapless_and_whole(docs, none, monkeypatch, level, few):
+    """Against the tokenizers library as the file sets it up."""
+    monkeypatch.setattr(packing, "LEVEL", level)
+    monkeypatch.setattr(packing, "FEW_PARTS", few)
+    path, special = public_tokenizers.path("byte_bpe_50k.tiktoken"), packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    made = lambda df: packing.tokenized(df, "doc_id", "text", path, public_tokenizers.PATTERN, special=special)
+    rows = packing.pack(made(docs), "doc_id", 256).collect()
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     want = sorted([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for _, t, *_ in corpus())
     rows.sort(key=lambda r: (r.sequence_id, r.offset))
     at, stream = 0, []
@@ -329,7 +333,7 @@ def test_packing_is_gapless_and_whole(docs, none):
             whole.append(stream[i : i + r.doc_tokens])
         i += r.length
     assert sorted(whole) == want
-    assert packing.pack(packing.tokenized(none, "doc_id", "text", path, public_tokenizers.PATTERN), "doc_id").count() == 0
+    assert packing.pack(made(none), "doc_id").count() == 0
 
 
 def test_packing_reads_added_tokens_as_the_tokenizer_does(spark):
