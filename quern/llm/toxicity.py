@@ -9,8 +9,8 @@ As averages and softmax are linear, a trained word is one number (its pull on th
 average of those numbers.  Scoring is a narrow map over the documents with a bounded cache of words; the model (the
 pull of each bucket, ``BUCKETS`` numbers) is broadcast and its size is fixed.
 
-Training uses at most ``MAX_ROWS`` labelled rows of each class, those whose id hashes lowest (a bound on the fit alone, the
-same at every size), and only rows whose crc32(id as text) mod 4 is not 2.  Only the text is looked at.
+Training uses at most ``MAX_ROWS`` labelled rows and ``MAX_CHARS`` characters of each class, those whose id hashes lowest (a bound on
+the fit alone, the same at every size; every text is read whole or not at all), and only rows whose crc32(id as text) mod 4 is not 2.  Only the text is looked at.
 
 Defined results: null text counts as empty; a text without words gets the score of the bias alone; labels that are null
 are ignored and of repeated labels the higher counts; without both classes every score is the share of toxic labels (0
@@ -24,11 +24,15 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quern.llm.common import free_names
+
 #: Labelled rows of each class to fit on at most; held-out remainder of crc32 mod FOLDS; decision threshold.
 MAX_ROWS, FOLDS, HELD_OUT, THRESHOLD = 3000, 4, 2, 0.3
+#: Characters of each class to fit on at most: rows beyond that, in the order of their ids' hashes, are not fitted on.
+MAX_CHARS = 60_000_000
 BUCKET_BITS, DIM, SIZES = 18, 4, (3, 4, 5)
 BUCKETS = 1 << BUCKET_BITS
 STEPS, RATE, DECAY, SEED = 200, 0.1, 5e-6, 7
@@ -174,18 +178,21 @@ class Scorer:
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple[np.ndarray, float]:
-    """Fit on at most MAX_ROWS labelled rows of each class, and the shares of the classes over all labelled rows."""
-    fold = F.crc32(F.col(key).cast("string").cast("binary")) % FOLDS
+    """Fit on at most MAX_ROWS labelled rows and MAX_CHARS characters of each class, and the shares of the classes over all labelled rows."""
+    fold = F.crc32(F.col("id").cast("string").cast("binary")) % FOLDS
     known = (
-        labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & (fold != HELD_OUT))
-        .groupBy(key)
-        .agg((F.max(label) > 0).cast("int").alias("__y"))
+        labels.select(F.col(key).alias("id"), F.col(label).alias("y"))
+        .where(F.col("id").isNotNull() & F.col("y").isNotNull() & (fold != HELD_OUT))
+        .groupBy("id")
+        .agg((F.max("y") > 0).cast("int").alias("y"))
     )
-    sizes = {y: known.where(F.col("__y") == y).count() for y in (0, 1)}
-    # ids alone are ranked; the texts of at most 2 * MAX_ROWS ids follow by a join on the id
-    picked = [known.where(F.col("__y") == y).orderBy(F.xxhash64(key), key).limit(MAX_ROWS) for y in (0, 1)]
-    picked = F.broadcast(picked[0].unionAll(picked[1]))
-    sample = docs.select(key, F.col(text).alias("__text")).join(picked, key).groupBy(key).agg(F.min("__text").alias("text"), F.min("__y").alias("y"))
+    # ids alone are ranked, and a task passes on MAX_ROWS of each class at most; the texts of these ids follow by a join on the id
+    order = Window.partitionBy("y").orderBy(F.xxhash64("id"), "id")
+    sizes = {0: 0, 1: 0} | {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}  # two rows
+    picked = F.broadcast(known.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= MAX_ROWS))
+    sample = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(picked, "id").groupBy("id").agg(F.min("text").alias("text"), F.min("y").alias("y"), F.min("nth").alias("nth"))
+    until = Window.partitionBy("y").orderBy("nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sample = sample.withColumn("until", F.sum(F.coalesce(F.length("text"), F.lit(0)).cast("long")).over(until)).where(F.col("until") <= MAX_CHARS)
 
     def run(batches):
         rows = sorted((t or "", y) for batch in batches for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
@@ -203,13 +210,14 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 
 def scored(docs: DataFrame, model: tuple[np.ndarray, float], keys: list[str], text: str = "text") -> DataFrame:
-    """``keys`` and ``score`` of every row: a narrow map."""
+    """``keys`` and ``score`` of every row: a narrow map.  If a key has that name, an underscore follows the new one."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import DoubleType, StructField, StructType
 
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers, whatever the data
-    want = StructType([*[StructField(k, docs.schema[k].dataType) for k in keys], StructField("score", DoubleType())])
+    want = StructType([*[StructField(k, docs.schema[k].dataType) for k in keys], StructField(free_names(keys, "score")[0], DoubleType())])
     n = len(keys)
+    read = keys.index(text) if text in keys else n  # the text goes to Python once
 
     def run(batches):
         scorer, schema = Scorer(*shared.value), to_arrow_schema(want)
@@ -218,14 +226,14 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float], keys: list[str], te
             while start < batch.num_rows:
                 texts, size = [], 0
                 while start + len(texts) < batch.num_rows and size < BATCH_BYTES:
-                    texts.append(batch.column(n)[start + len(texts)].as_py())
+                    texts.append(batch.column(read)[start + len(texts)].as_py())
                     size += len(texts[-1] or "")
                 part = batch.slice(start, len(texts))
                 columns = [part.column(i).cast(schema.field(i).type) for i in range(n)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(scorer.scores(texts), pa.float64())], names=schema.names)
                 start += len(texts)
 
-    return docs.select(*keys, F.col(text).alias("__text")).mapInArrow(run, want)
+    return docs.select(*keys, *([F.col(text)] if read == n else [])).mapInArrow(run, want)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
