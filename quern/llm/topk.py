@@ -6,9 +6,10 @@ every vector it meets, and stops when the bound - the sum over dimensions of its
 in that list - is below the k-th score so far: no vector not yet met can do better.  Ties at the bound are still
 walked, so results are exact with ties to the smaller id.
 
-Components are integers (floor of 1024 x), scores are 64-bit integers: nothing is rounded.
+Components are integers (floor of 1024 x; beyond 64 bits the nearest 64-bit integer), and so are scores: nothing is rounded.  A sum
+beyond 64 bits counts as the nearest 64-bit integer.
 
-Scale: block numbers come from hashing ids, so a common vector is spread evenly; copies inside a block are one list
+Scale: block numbers come from hashing row numbers, so a common vector or id is spread evenly; copies inside a block are one list
 entry that keeps its k + 1 smallest ids (no other copy can be among the k).  Query blocks meet candidate blocks as tiles
 (a stated query set against all rows); a tile returns at most k rows a query, and a ranking window that prunes before its
 shuffle merges them.  No task holds more than a block of each side.
@@ -25,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.shared import drop_table, shared_table
+from quern.shared import shared_table
 
 
 SCALE, K = 1024, 10
@@ -43,6 +44,7 @@ class Lists:
         order = np.argsort(ids, kind="stable")
         ids, vectors = ids[order], vectors[order]
         self.vectors, group = np.unique(vectors, axis=0, return_inverse=True)
+        self.largest = max(abs(int(vectors.min())), abs(int(vectors.max())))
         order = np.argsort(group.ravel(), kind="stable")  # by vector, then by id
         size = np.bincount(group.ravel(), minlength=len(self.vectors))
         start = np.concatenate(([0], np.cumsum(size)[:-1]))
@@ -51,15 +53,18 @@ class Lists:
         self.ids = ids[order][keep]
         kept = np.minimum(size, k + 1)
         self.start = np.concatenate(([0], np.cumsum(kept)))
-        self.down = np.argsort(-self.vectors, axis=0, kind="stable")  # positions, largest component first
-        self.up = self.down[::-1]
+        self.up = np.argsort(self.vectors, axis=0, kind="stable")  # positions, smallest component first
+        self.down = self.up[::-1]
 
     def search(self, own: int, query: np.ndarray) -> list[tuple[int, int]]:
         """(score, id) of the k best rows but ``own``, best first."""
         n, dims = self.vectors.shape
         used = np.flatnonzero(query)
+        values = self.vectors
+        if dims * int(self.largest) * max(abs(x) for x in query.tolist()) >= 1 << 63:  # a score may be beyond 64 bits: Python's integers
+            values, query = values.astype(object), query.astype(object)
         seen = np.zeros(n, bool)
-        scores = np.empty(0, np.int64)
+        scores = np.empty(0, values.dtype)
         groups = np.empty(0, np.int64)
         at, step = 0, STEP
         while at < n:
@@ -70,10 +75,11 @@ class Lists:
                 rows, to = np.arange(n), n  # every score is zero: all are met
             rows = rows[~seen[rows]]
             seen[rows] = True
-            scores = np.concatenate((scores, self.vectors[rows] @ query))
+            found = values[rows] @ query
+            scores = np.concatenate((scores, found if found.dtype == np.int64 else np.clip(found, -(1 << 63), (1 << 63) - 1)))
             groups = np.concatenate((groups, rows))
             if len(scores) > 2 * self.k + 2:  # keep what may still be among the k: at least k + 1 groups, and ties
-                least = np.partition(scores, len(scores) - self.k - 1)[len(scores) - self.k - 1]
+                least = np.sort(scores)[len(scores) - self.k - 1]
                 keep = scores >= least
                 scores, groups = scores[keep], groups[keep]
             at, step = to, step * 2
@@ -86,7 +92,7 @@ class Lists:
 
     def _rows(self, scores, groups, own) -> list[tuple[int, int]]:
         out, ids, start = [], self.ids, self.start
-        for s in np.unique(scores)[::-1]:
+        for s in sorted(set(scores.tolist()), reverse=True):
             near = np.sort(np.concatenate([ids[start[g] : start[g + 1]] for g in groups[scores == s].tolist()]))
             out += [(int(s), int(i)) for i in near[: self.k + 1] if i != own]
             if len(out) >= self.k:
@@ -103,15 +109,18 @@ def integers(vector):
 
 def top_k(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int = K) -> DataFrame:
     """(key, vector as array<long>) twice -> query_id, rank, vec_id, score: each query's k best other rows."""
-    spark = rows.sparkSession
-    rows = shared_table(rows.select(F.col(key).alias("id"), F.col(vector).alias("v")).where("v is not null and id is not null"), "vectors")
-    queries = shared_table(queries.select(F.col(key).alias("id"), F.col(vector).alias("v")).where("v is not null and id is not null"), "queries")
+
+    def numbered(df: DataFrame, name: str) -> DataFrame:
+        df = df.select(F.col(key).alias("id"), F.col(vector).alias("v")).where("v is not null and id is not null")
+        return shared_table(df.withColumn("n", F.monotonically_increasing_id()), name)
+
+    rows, queries = numbered(rows, "vectors"), numbered(queries, "queries")
     blocks = max(1, -(-rows.count() // BLOCK))
     sets = max(1, -(-queries.count() // QUERY_BLOCK))
     # a tile is a candidate block and a query set; each side is repeated for the blocks of the other
     tile = lambda b, q: b * F.lit(sets) + q
-    left = rows.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(sets - 1))).alias("q")).select(tile(F.pmod(F.xxhash64("id"), F.lit(blocks)), F.col("q")).alias("tile"), "id", "v")
-    right = queries.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b")).select(tile(F.col("b"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(sets))).alias("tile"), "id", "v")
+    left = rows.select("id", "v", "n", F.explode(F.sequence(F.lit(0), F.lit(sets - 1))).alias("q")).select(tile(F.pmod(F.xxhash64("n"), F.lit(blocks)), F.col("q")).alias("tile"), "id", "v")
+    right = queries.select("id", "v", "n", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b")).select(tile(F.col("b"), F.pmod(F.xxhash64("n", F.lit(1)), F.lit(sets))).alias("tile"), "id", "v")
 
     def search(mine: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = {"query_id": [], "vec_id": [], "score": []}
