@@ -10,8 +10,9 @@ tiles as its label has blocks; no task holds more than two blocks, whatever the
 count a row and a spanning forest of its links, never its pairs.
 
 Defined results: vectors that are null, zero or hold null or non-finite components, and rows without a label, link with
-nothing; vectors of different length never link; repeated rows with one id count as a row each; a null id takes no
-part; other columns are left alone; an empty table gives no rows.
+nothing; vectors of different length never link; repeated rows with one id count as a row each, be their vectors equal or not, and each has
+the links of its own vector; components of any finite size are compared (vectors are scaled by powers of two); a null id takes
+no part; other columns are left alone; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import connected_components
+from quern.llm.common import connected_components, free_names
 from quern.shared import drop_table, shared_table
 
 THRESHOLD, BLOCK = 0.93, 2048
@@ -45,12 +46,18 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Each row times the power of two that brings its largest component to between 1/2 and 1: squares neither overflow nor vanish."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+
+
 def tile(a: np.ndarray, b: np.ndarray | None, threshold: float) -> list[tuple[int, np.ndarray]]:
     """Row numbers of ``a`` and those of ``b`` linked to each (``b`` None: later rows of ``a`` itself)."""
     same = b is None
+    a = scaled(a)
+    b = a if same else scaled(b)
     norm_a = np.sqrt((a**2).sum(axis=1))
     norm_b = norm_a if same else np.sqrt((b**2).sum(axis=1))
-    b = a if same else b
     qa, sa, ea = quantised(a / norm_a[:, None])
     qb, sb, eb = quantised(b / norm_b[:, None])
     out = []
@@ -96,13 +103,14 @@ def _compared(threshold: float):
 
 
 def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD) -> DataFrame:
-    """``key``, ``n_links`` and ``component`` of every row."""
+    """``key``, ``n_links`` and ``component`` of every row (with an underscore behind them if the key has that name)."""
     v = F.transform(vector, lambda x: x.cast("double"))
     good = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
     part = F.coalesce(F.col(key).isNotNull() & F.col(label).isNotNull() & F.col(vector).isNotNull() & good, F.lit(False))
     rows = shared_table(rows.select(F.col(key).alias("id"), F.col(label).alias("label"), F.when(part, v).alias("v")), "vectors")
-    distinct = rows.where("v is not null").groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    distinct = shared_table(distinct.withColumn("dims", F.size("v")), "distinct")
+    distinct = rows.where("v is not null").groupBy("label", "v").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
+    # distinct vectors are numbered, as two of them may have rows of one id
+    distinct = shared_table(distinct.withColumns({"dims": F.size("v"), "rep": F.monotonically_increasing_id()}), "distinct")
     sizes = distinct.groupBy("label", "dims").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     placed = distinct.join(sizes, ["label", "dims"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     tiles = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
@@ -112,10 +120,15 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
     counts = found.where("u = v").groupBy("u").agg(F.sum("n").alias("n"))
     comp = connected_components(found.where("u <> v").select("u", "v"))
     reps = distinct.join(counts, F.col("rep") == F.col("u"), "left").join(comp, F.col("rep") == F.col("node"), "left")
-    reps = reps.select("label", "v", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"))
-    linked = rows.where("v is not null").join(reps, ["label", "v"]).select("id", "n_links", "component")
-    alone = rows.where("v is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
-    return linked.unionByName(alone).withColumnRenamed("id", key)
+    reps = reps.select("label", "v", "least", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+    named = reps.groupBy("component").agg(F.min("least").alias("name"))
+    reps = shared_table(reps.join(named, "component").select("label", "v", "n_links", "name"), "classes")
+    for df in (distinct, found, comp):
+        drop_table(df)
+    n_links, component = free_names([key], "n_links", "component")
+    linked = rows.where("v is not null").join(reps, ["label", "v"]).select("id", "n_links", "name")
+    alone = rows.where("v is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("name"))
+    return linked.unionByName(alone).select(F.col("id").alias(key), F.col("n_links").alias(n_links), F.col("name").alias(component))
 
 
 def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
