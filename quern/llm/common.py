@@ -78,4 +78,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         cur = new
     # stars by now: leaves name their centre, and centres name themselves
     named = cur.unionAll(cur.select(F.col("v").alias("u"), "v"))
-    return named.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
+    out = named.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
+    out._quern_path = cur._quern_path  # for drop_table
+    return out

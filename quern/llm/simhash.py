@@ -160,18 +160,24 @@ def near_links(distinct: DataFrame, hot: int = HOT) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_verify, "u long, v long")
 
 
-def near_classes(df: DataFrame, key: str, text: str) -> DataFrame:
+def near_classes(df: DataFrame, key: str, text: str, rows: str | None = None) -> DataFrame:
     """``key``, ``fp`` (long), ``component``: the smallest key among the rows reachable by near fingerprints, and ``class``.
 
-    ``class`` is the smallest fingerprint of those rows; a key of several rows can be the smallest of more than one class.
+    ``class`` is the smallest fingerprint of those rows; a key of several rows can be the smallest of more than one class.  ``rows`` is
+    another column to keep.  If a column kept has one of these names, an underscore follows the new one.
     """
-    fps = shared_table(fingerprints(df, [key], text), "fingerprints")
-    distinct = shared_table(fps.groupBy("fp").agg(F.min(key).alias("least")), "distinct")
-    comp = connected_components(near_links(distinct.select("fp"))).withColumnRenamed("node", "fp")
-    named = distinct.join(comp, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = named.groupBy("component").agg(F.min("least").alias("name"))
-    names = shared_table(named.join(least, "component").select("fp", F.col("name").alias("component"), F.col("component").alias("class")), "names")
-    return fps.join(names, "fp")
+    kept = [key, *([rows] if rows else [])]
+    fp, component, number = free_names(kept, "fp", "component", "class")
+    named = [f"k{i}" for i in range(len(kept))]
+    fps = shared_table(fingerprints(df.select(*[F.col(c).alias(k) for c, k in zip(kept, named, strict=True)], F.col(text).alias("text")), named, "text"), "fingerprints")
+    distinct = shared_table(fps.groupBy("fp").agg(F.min("k0").alias("least")), "distinct")
+    comp = connected_components(near_links(distinct.select("fp")))
+    classes = distinct.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    least = classes.groupBy("component").agg(F.min("least").alias("name"))
+    names = shared_table(classes.join(least, "component").select("fp", F.col("name").alias("component"), F.col("component").alias("class")), "names")
+    drop_table(comp)
+    drop_table(distinct)
+    return fps.join(names, "fp").select(*[F.col(k).alias(c) for c, k in zip(kept, named, strict=True)], F.col("fp").alias(fp), F.col("component").alias(component), F.col("class").alias(number))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

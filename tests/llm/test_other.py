@@ -17,7 +17,7 @@ def test_chat_round_trip(spark):
         (2, 0, "assistant", "no"), (2, 0, "assistant", "no"), (3, 0, None, "q"), (None, 1, "user", ""), (4, None, "system", "<<SYS>>"), (4, 3, "user", "é😀"),
     ]
     df = spark.createDataFrame([(*r, 1, "z") for r in rows], "conv_id long, turn long, role string, text string, loss int, formatted string")
-    out = chat.format_chat(df.drop("loss", "formatted")).select("*", chat.read_back(F.col("formatted")).alias("back"), chat.loss_text(F.col("segments")).alias("loss")).collect()
+    out = chat.format_chat(df).select("*", chat.read_back(F.col("formatted")).alias("back"), chat.loss_text(F.col("segments")).alias("loss")).collect()
     got = {r.conv_id: r for r in out}
     assert len(out) == 5
     for conv in (1, 2, 3, 4, None):
@@ -119,7 +119,7 @@ def test_embeddings_equal_brute_force(spark, monkeypatch):
             v = [x + rng.gauss(0, 0.25) for x in rows[rng.randrange(len(rows))][1]]
         rows.append((i, v, rng.choice([0, 1])))
     rows += [(500 + i, [1.0, 2.0, 0.0, 0.0, 0.0, 0.5], 1) for i in range(30)] + [(600, [2.0, 4.0, 0.0, 0.0, 0.0, 1.0], 1), (601, None, 1), (602, [0.0] * 6, 1), (603, [1.0, float("nan"), 0.0, 0.0, 0.0, 0.0], 0), (604, rows[0][1], None), (605, [1.0, None, 0.0, 0.0, 0.0, 0.0], 0), (606, [1.0, 2.0], 1), (None, rows[1][1], 1)]
-    df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, label int, block string").drop("block")
+    df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, label int, block string")
     good = [(i, v, y) for i, v, y in rows if i is not None and y is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)]
     links = {i: [j for j, w, z in good if j != i and z == y and len(w) == len(v) and sum(a * b for a, b in zip(v, w, strict=True)) / math.sqrt(sum(a * a for a in v)) / math.sqrt(sum(a * a for a in w)) >= 0.93] for i, v, y in good}
     want = {}
@@ -137,6 +137,28 @@ def test_embeddings_equal_brute_force(spark, monkeypatch):
     assert embeddings.near_duplicates(df.where("false")).count() == 0
 
 
+def test_embeddings_judge_rows_of_one_id_each_and_of_any_size(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0]), (4, [1e200, 1e-200]), (5, [1e-200, 0.0]), (6, [5e-324, 0.0]), (7, [-1.7e308, 1.7e308]), (8, [-1.0, 1.0]), (9, [0.0, 1e300])]
+    df = spark.createDataFrame([(*r, 1, 2.5) for r in rows], "vec_id long, embedding array<double>, label int, n_links double")
+    got = sorted((r.vec_id, r.n_links, r.component) for r in embeddings.near_duplicates(df).collect())
+    # both classes of id 1 have it as their least; 1 (first), 2, 4, 5, 6 are one class, 1 (second), 3, 9 another, 7 and 8 a third
+    assert got == [(1, 2, 1), (1, 4, 1), (2, 4, 1), (3, 2, 1), (4, 4, 1), (5, 4, 1), (6, 4, 1), (7, 1, 7), (8, 1, 7), (9, 2, 1)]
+    renamed = df.withColumnRenamed("n_links", "x").withColumnRenamed("vec_id", "component")
+    assert embeddings.near_duplicates(renamed, key="component").columns == ["component", "n_links", "component_"]
+
+
+def test_top_k_of_components_beyond_64_bits(spark):
+    rows = [(1, [1e18, 1.0]), (2, [-1e300, 1.0]), (3, [2.0, 3.0]), (4, [9e15, 2.0]), (5, [9e15, 1.0]), (6, [1.5, -0.25])]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, score int").select("vec_id", topk.integers(F.col("embedding")).alias("v"), "score")
+    low, high = -(1 << 63), (1 << 63) - 1
+    values = {i: [min(max(math.floor(1024 * x), low), high) for x in v] for i, v in rows}
+    want = []
+    for q, v in values.items():
+        best = sorted((-min(max(sum(a * b for a, b in zip(v, w, strict=True)), low), high), i) for i, w in values.items() if i != q)[:3]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert sorted(tuple(r) for r in topk.top_k(df, df, "vec_id", "v", 3).collect()) == sorted(want)
+
+
 def test_html_blocks():
     page = "<head><title>T</title></head><nav>menu</nav><div class='cookie-notice'>ok?</div><article><header><h1>Head &amp; line</h1></header><p>One <b>two<br>three</b>\n four<p>&lt;i&gt; &#233;<aside>no</aside><div class=comments>bad</div><script>1<2</script></article><footer>f</footer>"
     assert html.blocks(page) == [("menu", -1), ("ok?", -1), ("Head & line", 1), ("One two three four", 1), ("<i> é", 1), ("no", -1), ("bad", -1), ("f", -1)]

@@ -358,16 +358,19 @@ def test_toxicity_learns_subwords(spark, none):
         rows.append((i, " ".join(text)))
         marks.append((i, 0, int(toxic)))
     rows += [(900, None), (901, ""), (902, "vilewortish " * 2 + " ".join(words[:20])), (902, "x"), (903, " ".join(words[:20]))]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit(1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit(1)).withColumn("y", F.lit(7))
     labels = spark.createDataFrame([*marks, (5, 0, None), (None, 0, 1)], "doc_id long, quality int, toxic int")
-    out = {(r.doc_id, r.text): r.s for r in toxicity.scored(docs.drop("score"), toxicity.train(docs.drop("score"), labels), ["doc_id", "text"]).withColumnRenamed("score", "s").collect()}
+    model = toxicity.train(docs, labels)
+    out = {(r.doc_id, r.text): r.score for r in toxicity.scored(docs, model, ["doc_id", "text"]).collect()}
+    assert {(r.doc_id, r.text): r.score_ for r in toxicity.scored(docs, model, docs.columns).collect()} == out
     held = [(i, t) for i, t in rows[:400] if zlib.crc32(str(i).encode()) % 4 == 2]
     assert sum((out[i, t] >= 0.3) == (i % 4 == 0) for i, t in held) / len(held) > 0.95
     assert out[902, rows[402][1]] > 5 * out[903, rows[404][1]]  # an unseen form of the word
     assert out[900, None] == out[901, ""] and 0 <= out[900, None] <= 1
-    only = toxicity.train(docs.drop("score"), labels.where("toxic = 0"))
-    assert all(r.score < 0.01 for r in toxicity.scored(docs.drop("score"), only, ["doc_id"]).collect())
-    assert toxicity.scored(none.drop("score"), only, ["doc_id"]).count() == 0
+    only = toxicity.train(docs, labels.where("toxic = 0"))
+    assert all(r.score < 0.01 for r in toxicity.scored(docs, only, ["doc_id"]).collect())
+    assert toxicity.scored(none, only, ["doc_id"]).count() == 0
+    assert toxicity.train(none, labels)[0].any() == toxicity.train(docs, labels.where("false"))[0].any() == False  # noqa: E712
 
 
 def test_components_of_a_long_chain(spark):
