@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm import stages
-from quern.llm.common import shared_table
+from quern.shared import drop_table, shared_table
 
 STAGES = [
     ("toxicity", stages.toxicity),
@@ -21,7 +21,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        out = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = shared_table(docs, name)
-    return docs
+            made = shared_table(out, name)
+            drop_table(docs)  # nothing reads the stage before any more
+            docs = made
+    return out
