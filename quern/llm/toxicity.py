@@ -36,7 +36,7 @@ MAX_CHARS = 60_000_000
 BUCKET_BITS, DIM, SIZES = 18, 4, (3, 4, 5)
 BUCKETS = 1 << BUCKET_BITS
 STEPS, RATE, DECAY, SEED = 200, 0.1, 5e-6, 7
-CACHE_WORDS, CACHE_CHARS, BATCH_BYTES = 400_000, 48, 4 << 20
+CACHE_WORDS, CACHE_CHARS, BATCH_BYTES, WORDS_AT_ONCE = 250_000, 48, 2 << 20, 8192
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -99,7 +99,7 @@ def fit(texts: list[str], toxic: list[int], weight: np.ndarray) -> tuple[np.ndar
     del token_of
     docs, words, share = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (docs, words, share))
     vocabulary = list(vocabulary)
-    found = [features(vocabulary[k : k + 50_000]) for k in range(0, len(vocabulary), 50_000)]
+    found = [features(vocabulary[k : k + WORDS_AT_ONCE]) for k in range(0, len(vocabulary), WORDS_AT_ONCE)]
     gram, size = (np.concatenate(x) if found else np.zeros(0, np.int32) for x in ([g for g, _ in found], [n for _, n in found]))
     del vocabulary, found
     start = np.concatenate(([0], np.cumsum(size, dtype=np.int64)[:-1])) if len(size) else np.zeros(0, np.int64)
@@ -116,16 +116,16 @@ def fit(texts: list[str], toxic: list[int], weight: np.ndarray) -> tuple[np.ndar
     weight = weight / weight.sum()
     for step in range(1, STEPS + 1):
         u = model["U"][:, 1] - model["U"][:, 0]
-        pull = np.add.reduceat((model["E"] @ u).astype(np.float32)[gram], start) / size if len(size) else np.zeros(0)
+        pull = np.add.reduceat((model["E"] * u).sum(axis=1, dtype=np.float32)[gram], start) / size if len(size) else np.zeros(0)
         logit = SCALE * np.bincount(docs, share * pull[words], len(y)) + model["b"][1] - model["b"][0]
         p = 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
         err = weight * (p - y)
         back = SCALE * np.bincount(words, share * err[docs], len(size)) / size
         g = np.zeros(len(used))
-        for k in range(0, len(size), 50_000):  # bounds what bincount copies
-            some = slice(start[k], start[k + 50_000] if k + 50_000 < len(size) else len(gram))
-            g += np.bincount(gram[some], np.repeat(back[k : k + 50_000], size[k : k + 50_000]), len(used))
-        du = model["E"].T @ g
+        for k in range(0, len(size), 20_000):  # bounds what bincount copies
+            some = slice(start[k], start[k + 20_000] if k + 20_000 < len(size) else len(gram))
+            g += np.bincount(gram[some], np.repeat(back[k : k + 20_000], size[k : k + 20_000]), len(used))
+        du = (model["E"] * g[:, None]).sum(axis=0)  # no matrix product: its threads cost more than they save
         grad = {"E": np.outer(g, u), "U": np.stack([-du, du], 1), "b": np.array([-err.sum(), err.sum()])}
         grad["E"] += DECAY * model["E"]
         for k, v in model.items():
@@ -133,7 +133,7 @@ def fit(texts: list[str], toxic: list[int], weight: np.ndarray) -> tuple[np.ndar
             second[k] = 0.99 * second[k] + 0.01 * grad[k] ** 2
             v -= RATE * (1 - (step - 1) / STEPS) * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
     pulls = np.zeros(BUCKETS, np.float32)
-    pulls[used] = SCALE * (model["E"] @ (model["U"][:, 1] - model["U"][:, 0]))
+    pulls[used] = SCALE * (model["E"] * (model["U"][:, 1] - model["U"][:, 0])).sum(axis=1)
     return pulls, float(model["b"][1] - model["b"][0])
 
 
@@ -148,12 +148,13 @@ class Scorer:
         self.pulls, self.bias, self.known = pulls, bias, {}
 
     def pull(self, tokens: list[str]) -> list[float | None]:
-        words = [plain(t) for t in tokens]
-        gram, size = features([w for w in words if w])
-        if not len(size):
-            return [None] * len(tokens)
-        values = iter((np.add.reduceat(self.pulls[gram].astype(np.float64), np.cumsum(size) - size) / size).tolist())
-        return [next(values) if w else None for w in words]
+        out: list[float | None] = []
+        for at in range(0, len(tokens), WORDS_AT_ONCE):
+            words = [plain(t) for t in tokens[at : at + WORDS_AT_ONCE]]
+            gram, size = features([w for w in words if w])
+            values = iter((np.add.reduceat(self.pulls[gram].astype(np.float64), np.cumsum(size) - size) / size).tolist() if len(size) else ())
+            out += [next(values) if w else None for w in words]
+        return out
 
     def scores(self, texts: list[str | None]) -> list[float]:
         if len(self.known) >= CACHE_WORDS:
