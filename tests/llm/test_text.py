@@ -2,6 +2,7 @@
 
 import array
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -373,6 +374,104 @@ def test_toxicity_learns_subwords(spark, none):
     assert toxicity.train(none, labels)[0].any() == toxicity.train(docs, labels.where("false"))[0].any() == False  # noqa: E712
 
 
+M64 = (1 << 64) - 1
+P64, Q64 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+
+
+def brute_buckets(word):
+    """Buckets of the n-grams of a word and of itself, by whole numbers."""
+    marked = [ord(c) for c in f"<{word}>"]
+    hashes = [sum(c * pow(P64, i, 1 << 64) for i, c in enumerate(marked)) * Q64 & M64]
+    for n in (3, 4, 5):
+        for i in range(len(marked) - n + 1):
+            h = 0
+            for c in marked[i : i + n]:
+                h = (h * P64 + c) & M64
+            hashes.append((h + n) * Q64 & M64)
+    return [((h ^ h >> 29) * P64 & M64) >> (64 - toxicity.BUCKET_BITS) for h in hashes]
+
+
+def brute_words(text):
+    """(word, weight) of each token of a text; tokens that are alike but for case or marks stay apart."""
+    counts = {}
+    for t in text.split():
+        counts[t] = counts.get(t, 0) + 1
+    out = []
+    for t, n in counts.items():
+        w = t.lower()
+        while w and not w[0].isalnum():
+            w = w[1:]
+        while w and not w[-1].isalnum():
+            w = w[:-1]
+        if w:
+            out.append((w, 1 + math.log(n)))
+    return out
+
+
+def brute_logit(text, pull_of, bias):
+    words = brute_words(text)
+    total = sum(part for _, part in words)
+    return bias + (sum(part * pull_of(w) for w, part in words) / total if words else 0.0)
+
+
+def test_toxicity_scores_equal_brute_force():
+    rng = np.random.default_rng(3)
+    pulls, bias = rng.normal(0, 3, toxicity.BUCKETS).astype(np.float32), -0.7
+    texts = ["one Two two TWO, two", "", "  ", "...", "é日本 ünï 'x' a", "word " * 500 + "Word! word?", "x" * 3000, *(t for _, t, *_ in corpus() if t)]
+    of = lambda w: sum(float(pulls[b]) for b in brute_buckets(w)) / len(brute_buckets(w))
+    want = [1 / (1 + math.exp(-min(50, max(-50, brute_logit(t, of, bias))))) for t in texts]
+    with mock.patch.object(toxicity, "WORDS_AT_ONCE", 3), mock.patch.object(toxicity, "CACHE_WORDS", 5):
+        scorer = toxicity.Scorer(pulls, bias)
+        got = [x for k in range(0, len(texts), 4) for x in scorer.scores(texts[k : k + 4])]
+    assert got == pytest.approx(want, abs=1e-9)
+    assert toxicity.Scorer(pulls, bias).scores(["", None]) == [1 / (1 + math.exp(0.7))] * 2
+
+
+def test_toxicity_fit_equals_brute_force(monkeypatch):
+    """Embeddings and softmax by plain gradients of the weighted log loss, word by word."""
+    monkeypatch.setattr(toxicity, "STEPS", 4)
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 5))) for _ in range(12)]
+    texts = [" ".join(rng.choice(words) for _ in range(8)) for _ in range(9)] + [""]
+    y, weight = [k % 3 == 0 for k in range(10)], np.array([1.0 + k % 2 for k in range(10)])
+    pulls, bias = toxicity.fit(texts, [int(v) for v in y], weight)
+
+    used = sorted({b for t in texts for w, _ in brute_words(t) for b in brute_buckets(w)})
+    gen = np.random.default_rng(toxicity.SEED)
+    model = {"E": gen.normal(0, 0.05, (len(used), toxicity.DIM)), "U": gen.normal(0, 0.5, (toxicity.DIM, 2)), "b": np.zeros(2)}
+    model["b"][1] = math.log(sum(w for w, v in zip(weight, y, strict=True) if v) / sum(w for w, v in zip(weight, y, strict=True) if not v))
+    row = {b: k for k, b in enumerate(used)}
+    first = {k: np.zeros_like(v) for k, v in model.items()}
+    second = {k: np.zeros_like(v) for k, v in model.items()}
+    for step in range(1, 5):
+        grad = {k: np.zeros_like(v) for k, v in model.items()}
+        for text, label, w in zip(texts, y, weight / weight.sum(), strict=True):
+            x = np.zeros(toxicity.DIM)  # the text's vector, and its share of every bucket
+            share = {}
+            parts = brute_words(text)
+            for word, part in parts:
+                buckets = brute_buckets(word)
+                for b in buckets:
+                    share[row[b]] = share.get(row[b], 0) + toxicity.SCALE * part / sum(p for _, p in parts) / len(buckets)
+            for k, v in share.items():
+                x += v * model["E"][k]
+            z = x @ model["U"] + model["b"]
+            p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+            dz = w * (p - np.array([not label, label], float))
+            grad["U"] += np.outer(x, dz)
+            grad["b"] += dz
+            for k, v in share.items():
+                grad["E"][k] += v * (model["U"] @ dz)
+        grad["E"] += toxicity.DECAY * model["E"]
+        for k in model:
+            first[k] = 0.9 * first[k] + 0.1 * grad[k]
+            second[k] = 0.99 * second[k] + 0.01 * grad[k] ** 2
+            model[k] -= toxicity.RATE * (1 - (step - 1) / 4) * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
+    want = np.zeros(toxicity.BUCKETS)
+    want[used] = toxicity.SCALE * (model["E"] @ (model["U"][:, 1] - model["U"][:, 0]))
+    assert pulls == pytest.approx(want, rel=1e-2, abs=1e-2) and bias == pytest.approx(model["b"][1] - model["b"][0], rel=1e-3, abs=1e-3)
+
+
 def test_components_of_a_long_chain(spark):
     n = 300
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, n, 1) if i % 100 != 99] + [(5, 5), (None, 3)], "u long, v long").repartition(5)
