@@ -29,6 +29,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.llm.common import tidied
+
 #: Bytes of ids or text in one output batch, words a worker remembers, longest word it remembers.
 BATCH_BYTES, CACHE_WORDS, CACHE_CHARS = 3 << 20, 80_000, 64
 #: Bytes of pre-tokens that one rank queue merges; the hash table of pairs.
@@ -380,6 +382,7 @@ def _mapped(df: DataFrame, keys: list[str], column: str, out: str, make) -> Data
     want = StructType([*[StructField(k, df.schema[k].dataType) for k in keys], StructField(out, BinaryType())])
     n = len(keys)
 
+    @tidied
     def run(batches):
         f = make()
         schema = to_arrow_schema(want)

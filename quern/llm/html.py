@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.llm.common import tidied
 from quern.llm.urls import host_of
 from quern.shared import shared_table
 
@@ -259,6 +260,7 @@ def _pieces(words: list[str], size: int) -> Iterator[list[str]]:
 def _suffixes(chunk: int):
     """(host, page, texts) -> (digest, low, high): the distinct substrings of each ``chunk`` words with their smallest and largest page."""
 
+    @tidied
     def run(batches):
         for batch in batches:
             streams, hosts, pages, size = [], [], [], 0
@@ -312,6 +314,7 @@ def unique_runs(host: str, text: str, repeated: set[bytes]) -> str:
 def _parsed(key_type):
     """(page_id, url, page, host, html) -> the same with the blocks in place of html."""
 
+    @tidied
     def run(batches):
         kind = pa.list_(pa.struct([("text", pa.string()), ("kind", pa.int8())]))
         for batch in batches:

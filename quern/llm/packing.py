@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quern.llm.common import tidied
 from quern.shared import shared_table
 
 WINDOW, END_ID = 2048, 1
@@ -63,6 +64,7 @@ def tokenized(df: DataFrame, key: str, text: str, ranks_path: str, pattern: str,
     end = b"" if end_id is None else end_id.to_bytes(4, "little")
     kind = df.schema[key].dataType.simpleString()
 
+    @tidied
     def run(batches):
         mark = hash((raw.value, *sorted((special or {}).items())))
         if mark not in _CODERS:
@@ -105,6 +107,7 @@ def pack(table: DataFrame, key: str, window: int = WINDOW) -> DataFrame:
     bases = totals.withColumn("inside", F.coalesce(F.sum("total").over(within), F.lit(0))).join(levels, "level").select("part", (F.col("until") + F.col("inside")).alias("base"))
     kind = table.schema["key"].dataType.simpleString()
 
+    @tidied
     def run(batches):
         names = ["key", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
         for batch in batches:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import connected_components, free_names
+from quern.llm.common import connected_components, free_names, tidied
 from quern.shared import drop_table, shared_table
 
 SHINGLE, SEED, MAX_BITS, HOT = 3, 42, 3, 1 << 16
@@ -65,6 +65,7 @@ def fingerprints(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     want = StructType([*[StructField(k, df.schema[k].dataType) for k in keys], StructField("fp", LongType())])
     n = len(keys)
 
+    @tidied
     def run(batches):
         schema = to_arrow_schema(want)
         for batch in batches:
@@ -91,6 +92,7 @@ def _linked(values: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+@tidied
 def _verify(batches):
     """Rows (key, fp) sorted by key -> links (u, v) of fingerprints, group by group."""
     key = fp = np.empty(0, np.int64)

@@ -20,9 +20,11 @@ from quern.llm.common import free_names
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below the threshold; learnt from the labelled rows among ``docs`` that are not held out.
 
-    Every row is judged by its own text, with or without an id.
+    Every row is judged by its own text, with or without an id.  Without labelled rows of both classes nothing is rejected.
     """
     model = toxic.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    if not model[0].any():
+        return docs
     score = free_names(docs.columns, "score")[0]
     return toxic.scored(docs, model, docs.columns).where(F.col(score) < toxic.THRESHOLD).select(*docs.columns)
 

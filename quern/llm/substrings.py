@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from quern.llm.common import free_names
+from quern.llm.common import free_names, tidied
 from quern.shared import drop_table, shared_table
 
 WINDOW, ANCHOR = 13, 5
@@ -94,6 +94,7 @@ def passages(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 OPEN, SEVERAL, SETTLED = 0, 1, 2
 
 
+@tidied
 def _anchors(batches):
     """(key, text bytes) -> (anchor, key, mark): each anchor of a document once; mark is 4 * documents + kind."""
     for batch in batches:
@@ -192,6 +193,7 @@ _FACTOR = "key long, row long, at int, n int, source long, source_at int"
 def _passages(common):
     """(key, row, text, anchors) -> the passages around these anchors, to their blocks; those settled in the chunk have a source."""
 
+    @tidied
     def run(batches):
         hot = common.value
         for batch in batches:
@@ -288,6 +290,7 @@ class Block:
         return out
 
 
+@tidied
 def _factors(batches):
     """Passages sorted by block and key -> the factors of each."""
     last, block, out = None, None, []
@@ -351,6 +354,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     k, r, f = free_names(docs.columns, "__key", "__row", "__factors")
     found = factors.groupBy(F.col("key").alias(k), F.col("row").alias(r)).agg(F.collect_list(F.struct("at", "n", "source", "source_at")).alias(f))
 
+    @tidied
     def run(batches):
         schema = to_arrow_schema(want)
         for batch in batches:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import free_names
+from quern.llm.common import free_names, tidied
 
 #: Labelled rows of each class to fit on at most; held-out remainder of crc32 mod FOLDS; decision threshold.
 MAX_ROWS, FOLDS, HELD_OUT, THRESHOLD = 3000, 4, 2, 0.3
@@ -195,6 +195,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     until = Window.partitionBy("y").orderBy("nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sample = sample.withColumn("until", F.sum(F.coalesce(F.length("text"), F.lit(0)).cast("long")).over(until)).where(F.col("until") <= MAX_CHARS)
 
+    @tidied
     def run(batches):
         rows = sorted((t or "", y) for batch in batches for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
         got = {y: sum(1 for _, z in rows if z == y) for y in (0, 1)}
@@ -220,6 +221,7 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float], keys: list[str], te
     n = len(keys)
     read = keys.index(text) if text in keys else n  # the text goes to Python once
 
+    @tidied
     def run(batches):
         scorer, schema = Scorer(*shared.value), to_arrow_schema(want)
         for batch in batches:
