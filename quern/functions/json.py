@@ -169,6 +169,11 @@ def remove(doc: Column, *paths: str) -> Column:
 
 
 def each(doc: Column) -> Column:
-    """For explode: (key, value) of an object's or array's members, values as JSON text."""
-    entries = F.from_json(doc, "map<string,string>")
-    return F.map_entries(entries)
+    """For explode: (key, value) of an object's or array's members (an array's keys are its places); null for other values.
+
+    A member that is a text is given as it is, any other as JSON.
+    """
+    is_array = F.coalesce(F.ltrim(doc).startswith("["), F.lit(False))
+    members = F.from_json(F.when(is_array, doc), "array<string>")
+    placed = F.transform(members, lambda v, i: F.struct(i.cast("string").alias("key"), v.alias("value")))
+    return F.when(is_array, placed).otherwise(F.map_entries(F.from_json(F.when(~is_array, doc), "map<string,string>")))

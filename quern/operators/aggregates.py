@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import json as J
 from quern.functions import numbers as N
+from quern.functions.registry import Aggregate, Functions
 from quern.registry import operator, sql_operator
 from quern.tables import load
 
@@ -55,7 +56,15 @@ def agg_json_group_object(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.to_json(F.map_from_entries(F.transform(rows, lambda r: F.struct(r["n_name"], r["n_nationkey"])))).alias("j"))
 
 
-@operator("agg_udaf", "SELECT o_orderstatus, round(sum(o_totalprice * o_totalprice) / CAST(1e9 AS DOUBLE), 3) AS q FROM orders GROUP BY o_orderstatus")
+@operator("agg_udaf", "SELECT o_orderpriority, max(o_totalprice) - min(o_totalprice) AS spread, count(DISTINCT o_custkey % 7) AS kinds FROM orders GROUP BY o_orderpriority")
 def agg_udaf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A user aggregate (step and finalize) as a native fold: no group is gathered."""
-    return load(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.round(F.sum(F.col("o_totalprice") * F.col("o_totalprice")) / 1e9, 3).alias("q"))
+    """Two user aggregates of a step and a final function; tasks fold their rows, and states are merged."""
+    functions = Functions(spark)
+
+    def wider(s, x):
+        return s if x is None else [x, x] if s is None else [min(s[0], x), max(s[1], x)]
+
+    functions.aggregate("spread", Aggregate(lambda: None, wider, lambda a, b: a if b is None else b if a is None else [min(a[0], b[0]), max(a[1], b[1])], lambda s: None if s is None else s[1] - s[0], "double"))
+    functions.aggregate("kinds", Aggregate(set, lambda s, x: s if x is None else s | {x}, lambda a, b: a | b, len, "bigint"))
+    orders = load(spark, sf_dir, "orders").withColumn("kind", F.col("o_custkey") % 7)
+    return functions.grouped(orders, ["o_orderpriority"], spread=("spread", "o_totalprice"), kinds=("kinds", "kind"))

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.dialect import complete, to_spark
+from quern import pragmas
 from quern.registry import operator
+from quern.shared import shared_path
 from quern.sources import catalog
 from quern.sources.series import series
 from quern.store import ConstraintError, ForeignKey, Store
@@ -208,18 +206,21 @@ def constraint_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s["region"].agg(F.count("*").alias("n")).select(F.lit(int(refused)).alias("refused"), "n")
 
 
-@operator("constraint_notnull", "SELECT 1 AS refused")
+@operator("constraint_notnull", "SELECT 1 AS refused, count(*) + 1 AS n FROM region")
 def constraint_notnull(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _store(spark, sf_dir, "region", region={"not_null": ("r_name",)})
-    refused = _raises(lambda: s.insert("region", _region(spark, (8, None))))
-    return spark.range(1).select(F.lit(int(refused)).alias("refused"))
+    refused = _raises(lambda: s.insert("region", _region(spark, (7, "SEVEN"), (8, None))))
+    s.insert("region", _region(spark, (None, "EIGHT")))
+    return s["region"].agg(F.count("*").alias("n")).select(F.lit(int(refused)).alias("refused"), "n")
 
 
-@operator("constraint_unique", "SELECT 1 AS refused")
+@operator("constraint_unique", "SELECT 1 AS refused, 1 AS again, count(*) + 2 AS n FROM region")
 def constraint_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _store(spark, sf_dir, "region", region={"unique": (("r_name",),)})
     refused = _raises(lambda: s.insert("region", load(spark, sf_dir, "region").limit(1)))
-    return spark.range(1).select(F.lit(int(refused)).alias("refused"))
+    again = _raises(lambda: s.insert("region", _region(spark, (8, "NEW"), (9, "NEW"))))  # among the new rows
+    s.insert("region", _region(spark, (8, None), (9, None)))  # nulls are no copies
+    return s["region"].agg(F.count("*").alias("n")).select(F.lit(int(refused)).alias("refused"), F.lit(int(again)).alias("again"), "n")
 
 
 @operator("ddl_create_table", "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey")
@@ -308,10 +309,15 @@ def hooks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(1).select(*[F.lit(seen[k]).alias(n) for k, n in (("update", "updates"), ("commit", "commits"), ("rollback", "rollbacks"))])
 
 
-@operator("analyze", "SELECT 'nation' AS tbl, count(*) AS stat FROM nation UNION ALL SELECT 'region', count(*) FROM region")
+@operator(
+    "analyze",
+    """SELECT 'nation' AS tbl, 'by_region' AS idx, count(*) || ' ' || CAST(ceil(count(*) / count(DISTINCT n_regionkey)) AS BIGINT) || ' 1' AS stat FROM nation
+    UNION ALL SELECT 'region', NULL, CAST(count(*) AS VARCHAR) FROM region""",
+)
 def analyze(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _store(spark, sf_dir, "nation", "region")
-    return catalog.statistics(spark, {n: t.df for n, t in s.tables.items()}).select(F.col("name").alias("tbl"), F.col("n_rows").alias("stat"))
+    s.create_index("by_region", "nation", ["n_regionkey", "n_name"])
+    return pragmas.analyze(s)
 
 
 @operator("pragma_table_info", "SELECT * FROM (VALUES (0, 'r_regionkey', 'int', 0, 1), (1, 'r_name', 'string', 0, 0)) t(cid, name, type, \"notnull\", pk)")
@@ -330,7 +336,7 @@ def pragma_foreign_key_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 @operator("backup", "SELECT * FROM nation")
 def backup(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _store(spark, sf_dir, "nation")
-    path = f"{_shared(spark)}/backup-{uuid.uuid4().hex}"
+    path = shared_path(spark, "backup")
     s.backup(path)
     return spark.read.schema(s["nation"].schema).parquet(f"{path}/nation")
 
@@ -338,7 +344,7 @@ def backup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @operator("attach", "SELECT r_regionkey FROM region")
 def attach(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _store(spark, sf_dir, "region")
-    path = f"{_shared(spark)}/attach-{uuid.uuid4().hex}"
+    path = shared_path(spark, "attach")
     s.backup(path)
     other = Store(spark)
     other.attach("aux", path, ["region"])
@@ -350,13 +356,7 @@ def vacuum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Compaction: the live rows rewritten into as few files as they need."""
     s = _store(spark, sf_dir, "nation")
     s.delete("nation", "n_nationkey <= 4")
-    path = f"{_shared(spark)}/vacuum-{uuid.uuid4().hex}"
-    s["nation"].select("n_nationkey").coalesce(1).write.parquet(path)
-    return spark.read.schema("n_nationkey int").parquet(path)
-
-
-def _shared(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints")
+    return pragmas.rewritten(s["nation"].select("n_nationkey"), "vacuum")
 
 
 @operator("explain", "SELECT 1 AS has_scan, 1 AS pushed")
@@ -365,10 +365,10 @@ def explain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(1).select(F.lit(int("FileScan parquet" in plan)).alias("has_scan"), F.lit(int("EqualTo(o_orderkey,5)" in plan)).alias("pushed"))
 
 
-@operator("complete", "SELECT 1 AS a, 0 AS b, 1 AS c")
+@operator("complete", "SELECT 1 AS a, 0 AS b, 1 AS c, 0 AS d, 0 AS e")
 def complete_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b, d = complete("SELECT 1;"), complete("SELECT 'x;"), complete("CREATE TRIGGER t AFTER INSERT ON x BEGIN SELECT 1; END;")
-    return spark.range(1).select(F.lit(int(a)).alias("a"), F.lit(int(b)).alias("b"), F.lit(int(d)).alias("c"))
+    texts = ["SELECT 1;", "SELECT 'x;", "CREATE TRIGGER t AFTER INSERT ON x BEGIN SELECT 1; END;", "SELECT (1;", " ; "]
+    return spark.range(1).select(*[F.lit(int(complete(t))).alias(n) for t, n in zip(texts, "abcde", strict=True)])
 
 
 @operator("dialect", "SELECT o_orderkey FROM orders WHERE o_orderkey % 10 = 3 AND o_orderstatus IS NOT NULL ORDER BY o_orderkey LIMIT 5 OFFSET 2")

@@ -35,8 +35,7 @@ sql_operator("pred_in_list", f"SELECT o_orderkey, {_flags(i='a IN (0, 5)', o='a
 sql_operator("pred_in_subquery", "SELECT c_custkey FROM {customer} WHERE c_nationkey IN (SELECT n_nationkey FROM {nation} WHERE n_regionkey = 2)")
 sql_operator("pred_not_in_subquery", "SELECT c_custkey FROM {customer} WHERE c_custkey NOT IN (SELECT o_custkey FROM {orders} WHERE o_totalprice > 100000)")
 sql_operator("pred_in_table", "SELECT n_nationkey FROM {nation} WHERE n_regionkey IN (SELECT r_regionkey FROM {region})")
-sql_operator("pred_exists", "SELECT c_custkey FROM {customer} WHERE EXISTS (SELECT 1 FROM {orders} WHERE o_totalprice > 300000) AND c_custkey < 100")
-sql_operator("pred_exists_whole", "SELECT c_custkey FROM {customer} WHERE EXISTS (SELECT 1 FROM {orders} WHERE o_totalprice > 300000)")
+sql_operator("pred_exists", "SELECT c_custkey FROM {customer} WHERE EXISTS (SELECT 1 FROM {orders} WHERE o_totalprice > 300000)")
 sql_operator("pred_not_exists", "SELECT c_custkey FROM {customer} c WHERE NOT EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'F')")
 
 

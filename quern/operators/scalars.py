@@ -50,8 +50,24 @@ _fn("fn_unhex", "nation", "n_nationkey", lambda: {"a": F.decode(S.unhexed(F.hex(
 _fn("fn_unicode", "documents", "doc_id", lambda: {"a": S.unicode(c("text")), "b": S.unicode(F.lit(""))}, "unicode(text) AS a, CAST(NULL AS INTEGER) AS b")
 _fn("fn_char", "nation", "n_nationkey", lambda: {"a": S.char(c("n_nationkey") + 65, F.lit(None).cast("int"), c("n_nationkey") + 900, F.lit(128512))}, "chr(n_nationkey + 65) || chr(n_nationkey + 900) || chr(128512) AS a")
 _fn("fn_zeroblob", "nation", "n_nationkey", lambda: {"a": F.hex(S.zeroblob(c("n_nationkey")))}, "repeat('00', n_nationkey) AS a")
-_fn("fn_randomblob", "nation", "n_nationkey", lambda: {"a": F.octet_length(F.unhex(F.substring(F.hex(F.sha2(F.concat(F.rand().cast("string"), F.lit("x")), 256).cast("binary")), 1, 32))).cast("bigint")}, "CAST(16 AS BIGINT) AS a")
-_fn("fn_random", "nation", "n_nationkey", lambda: {"a": (F.floor(F.rand() * F.lit(float(2**53))).cast("bigint") >= 0).cast("int")}, "1 AS a")
+
+
+@operator("fn_randomblob", "SELECT count(*) AS n, CAST(16 AS BIGINT) AS least, CAST(16 AS BIGINT) AS most FROM orders")
+def fn_randomblob(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """16 random bytes a row: no two rows have the same."""
+    blob = F.unhex(F.substring(F.sha2(F.concat(F.rand().cast("string"), F.lit("-"), F.uuid()).cast("binary"), 256), 1, 32))
+    orders = load(spark, sf_dir, "orders").select(blob.alias("b"))
+    return orders.agg(F.count_distinct("b").alias("n"), F.min(F.octet_length("b")).cast("bigint").alias("least"), F.max(F.octet_length("b")).cast("bigint").alias("most"))
+
+
+@operator("fn_random", "SELECT count(*) AS n, 1 AS both_signs, 1 AS beyond_32_bits FROM orders")
+def fn_random(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A random 64-bit integer a row: all differ, both signs occur, and the high bits are used."""
+    orders = load(spark, sf_dir, "orders").select(F.xxhash64(F.rand(), F.uuid()).alias("r"))
+    signs = (F.min("r") < 0) & (F.max("r") > 0)
+    return orders.agg(F.count_distinct("r").alias("n"), signs.cast("int").alias("both_signs"), (F.max(F.abs(F.shiftright("r", 8))) > 2**32).cast("int").alias("beyond_32_bits"))
+
+
 _fn("fn_ifnull", "orders", "o_orderkey", lambda: {"a": F.ifnull(F.nullif(c("o_orderstatus"), F.lit("F")), F.lit("none"))}, "ifnull(nullif(o_orderstatus, 'F'), 'none') AS a")
 _fn("fn_nullif", "orders", "o_orderkey", lambda: {"a": F.nullif(c("o_orderstatus"), F.lit("O"))}, "nullif(o_orderstatus, 'O') AS a")
 _fn("fn_coalesce", "orders", "o_orderkey", lambda: {"a": F.coalesce(F.nullif(c("o_orderstatus"), F.lit("O")), F.nullif(c("o_orderpriority"), F.lit("1-URGENT")), F.lit("-"))}, "coalesce(nullif(o_orderstatus, 'O'), nullif(o_orderpriority, '1-URGENT'), '-') AS a")
@@ -89,10 +105,11 @@ _fn("fn_json_valid", "events", "event_id", lambda: {"a": J.valid(c("props")), "b
 _fn("fn_json_length", "events", "event_id", lambda: {"a": J.length(F.concat(F.lit("["), "props", F.lit(",2]"))), "b": J.length(c("props"))}, "CAST(2 AS BIGINT) AS a, CAST(0 AS BIGINT) AS b")
 
 
-@operator("fn_json_each", "SELECT event_id, 'k' AS key, json_extract_string(props, '$.k') AS value FROM events UNION ALL SELECT event_id, 'z', 'true' FROM events")
+@operator("fn_json_each", "SELECT event_id, 'k' AS key, json_extract_string(props, '$.k') AS value FROM events UNION ALL SELECT event_id, 'z', 'true' FROM events UNION ALL SELECT event_id, '0', json_extract_string(props, '$.k') FROM events UNION ALL SELECT event_id, '1', 'x' FROM events UNION ALL SELECT event_id, '2', '{\"a\":[1]}' FROM events")
 def fn_json_each(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = load(spark, sf_dir, "events").select("event_id", F.regexp_replace("props", r"\}$", ',"z":true}').alias("j"))
-    return events.select("event_id", F.explode(J.each(c("j"))).alias("e")).select("event_id", "e.key", "e.value")
+    arrays = events.select("event_id", F.concat(F.lit(" ["), F.get_json_object("j", "$.k"), F.lit(',"x",{"a":[1]}]')).alias("j"))
+    return events.unionAll(arrays).select("event_id", F.explode(J.each(c("j"))).alias("e")).select("event_id", "e.key", "e.value")
 
 
 @operator("fn_json_tree", "SELECT event_id, '$.a[0]' AS path, json_extract_string(props, '$.k') AS atom FROM events UNION ALL SELECT event_id, '$.b', 'x' FROM events")

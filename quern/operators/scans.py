@@ -10,11 +10,7 @@ from quern.sources import blobs, boxes, catalog, changes, fulltext, series
 from quern.tables import TABLES, load
 
 sql_operator("scan_full", "SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority FROM {orders}")
-sql_operator(
-    "scan_reverse",
-    "SELECT o_orderkey, o_orderdate FROM {orders} ORDER BY o_orderkey DESC LIMIT 50",
-)
-sql_operator("scan_reverse_whole", "SELECT o_orderkey, o_orderdate FROM {orders} ORDER BY o_orderkey DESC")
+sql_operator("scan_reverse", "SELECT o_orderkey, o_orderdate FROM {orders} ORDER BY o_orderkey DESC")
 sql_operator("scan_rowid_seek", "SELECT o_orderkey, o_custkey, o_totalprice FROM {orders} WHERE o_orderkey = 4711")
 sql_operator("scan_index_eq", "SELECT c_custkey, c_name FROM {customer} WHERE c_mktsegment = 'BUILDING'")
 sql_operator("scan_index_range", "SELECT o_orderkey, o_orderdate FROM {orders} WHERE o_orderkey BETWEEN 100 AND 900 AND o_orderdate >= TIMESTAMP '1996-01-01'")
@@ -49,11 +45,11 @@ def vtab_register(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.series(spark, 0, 1000, 1).agg(F.sum("value").alias("total"), F.count("*").alias("n"))
 
 
-# word = prefix of a token, phrase = part of the text, all must match
+# word = prefix of a token without the marks at its ends, phrase = part of the text, all must match
 @operator(
     "vtab_fts",
-    r"""SELECT doc_id FROM documents WHERE len(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda t: starts_with(t, 'then'))) > 0
-    AND len(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda t: starts_with(t, 'onre'))) > 0 AND contains(lower(text), 'of the')""",
+    r"""SELECT doc_id FROM documents WHERE len(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda t: starts_with(regexp_replace(t, '^[^\p{L}\p{N}]+', ''), 'then'))) > 0
+    AND len(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda t: starts_with(regexp_replace(t, '^[^\p{L}\p{N}]+', ''), 'onre'))) > 0 AND contains(lower(text), 'of the')""",
 )
 def vtab_fts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").where(fulltext.match(F.col("text"), 'then AND onre "of the"')).select("doc_id")
@@ -80,7 +76,10 @@ def vtab_rtree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes.overlap_join(box, cell={"x": 4.0, "y": 4.0})
 
 
-@operator("vtab_dbstat", "SELECT 'nation' AS name, count(*) AS n_rows, CAST(3 AS BIGINT) AS n_columns FROM nation UNION ALL SELECT 'orders', count(*), CAST(6 AS BIGINT) FROM orders")
+@operator(
+    "vtab_dbstat",
+    "SELECT 'nation' AS name, count(*) AS n_rows, CAST(3 AS BIGINT) AS n_columns, CAST(sum(strlen(n_name)) AS BIGINT) AS payload FROM nation UNION ALL SELECT 'orders', count(*), CAST(6 AS BIGINT), CAST(sum(strlen(o_orderstatus) + strlen(o_orderpriority)) AS BIGINT) FROM orders",
+)
 def vtab_dbstat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.statistics(spark, {t: load(spark, sf_dir, t) for t in ("nation", "orders")})
 
@@ -110,6 +109,21 @@ def session_cdc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.select("op", F.col("k").alias("pk"), F.col("old.v").alias("old_v"), F.col("new.v").alias("new_v"))
 
 
+_CHANGES = """WITH old AS (SELECT n_nationkey AS k, n_name AS v FROM nation WHERE n_nationkey < 20), new AS (SELECT n_nationkey AS k, CASE WHEN n_nationkey % 5 = 0 THEN NULL ELSE n_name END AS v FROM nation WHERE n_nationkey >= 3)
+    SELECT CASE WHEN old.k IS NULL THEN 'I' WHEN new.k IS NULL THEN 'D' ELSE 'U' END AS op, coalesce(old.k, new.k) AS pk, old.v AS old_v, new.v AS new_v
+    FROM old FULL OUTER JOIN new ON old.k = new.k WHERE old.k IS NULL OR new.k IS NULL OR old.v IS DISTINCT FROM new.v"""
+
+
+@operator("session_changeset", _CHANGES)
+def session_changeset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A changeset written as bytes and read back."""
+    nation = load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("v"))
+    new = nation.where("k >= 3").withColumn("v", F.when(F.col("k") % 5 != 0, F.col("v")))
+    diff = changes.diff(nation.where("k < 20"), new, ["k"])
+    back = changes.decode(changes.encode(diff), diff.schema)
+    return back.select("op", F.col("k").alias("pk"), F.col("old.v").alias("old_v"), F.col("new.v").alias("new_v"))
+
+
 @operator("session_apply", "SELECT n_nationkey AS k, CASE WHEN n_nationkey % 5 = 0 THEN n_name || '!' ELSE n_name END AS v FROM nation WHERE n_nationkey >= 3")
 def session_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("v"))

@@ -1,4 +1,4 @@
-"""The folder that driver and executors share, and what is written there: intermediate tables, checkpoints, copies.
+"""The folder that driver and executors share, and what is written there: intermediate tables, snapshots, copies.
 
 Everything lies in one folder of the application, which goes when the application ends; what is read no more goes before.
 """
@@ -79,11 +79,3 @@ def drop_table(df: DataFrame | None) -> None:
     path = getattr(df, "_quern_path", None)
     if path:
         remove(df.sparkSession, path)
-
-
-def reliable(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the shared folder."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_path(spark, "checkpoints"))
-    return df.checkpoint()

@@ -1,4 +1,4 @@
-"""N-dimensional boxes (``x0, x1, y0, y1, ...``): overlap predicate and an overlap join on grid cells."""
+"""N-dimensional boxes (``x0, x1, y0, y1, ...``): overlap predicate and an overlap join on grids of several cell sizes."""
 
 from __future__ import annotations
 
@@ -15,18 +15,34 @@ def overlaps(window: dict[str, tuple[float, float]]) -> Column:
 
 
 def overlap_join(boxes: DataFrame, cell: dict[str, float]) -> DataFrame:
-    """Pairs (a_id < b_id) of boxes that touch: an equi-join on the grid cells each box covers, verified.
+    """Pairs (a_id < b_id) of boxes that touch: an equi-join on grid cells, verified.
 
-    A pair is reported in the cell that holds the lower corner of its intersection alone, so nothing is deduplicated.
+    A box lives on the finest grid (``cell`` times a power of two) whose cells it is no wider than, so on at most two cells a
+    dimension however wide it is.  A pair meets on the coarser grid of its two boxes: every box is looked up on its own grid and on
+    the coarser ones that exist (the driver reads their numbers, a few dozen at most).  A pair is reported in the cell that holds the
+    lower corner of its intersection alone, so nothing is deduplicated.  Boxes with a null or NaN corner touch nothing.
     """
-    rows = boxes
-    for d, size in cell.items():
-        low, high = F.floor(F.col(f"{d}0") / size), F.floor(F.col(f"{d}1") / size)
-        rows = rows.withColumn(f"cell_{d}", F.explode(F.sequence(low, high)))
-    a = rows.select([F.col(c).alias(f"a_{c}") if not c.startswith("cell_") else F.col(c) for c in rows.columns])
-    b = rows.select([F.col(c).alias(f"b_{c}") if not c.startswith("cell_") else F.col(c) for c in rows.columns])
-    both = a.join(b, [f"cell_{d}" for d in cell]).where("a_id < b_id")
+    dims = list(cell)
+    corners = [f"{d}{i}" for d in dims for i in (0, 1)]
+    rows = boxes.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in corners]))
+    rows = rows.where(reduce(lambda a, b: a & b, [F.col(f"{d}0") <= F.col(f"{d}1") for d in dims]))
+    width = F.greatest(*[(F.col(f"{d}1") - F.col(f"{d}0")) / cell[d] for d in dims], F.lit(1.0))
+    rows = rows.select("id", *[F.col(c).cast("double").alias(c) for c in corners], F.ceil(F.log2(width)).cast("int").alias("own"))
+    levels = sorted(r[0] for r in rows.select("own").distinct().collect())  # at most as many as a double has exponents
+
+    def on_grid(df: DataFrame) -> DataFrame:
+        for d, size in cell.items():
+            low, high = (F.floor(F.col(f"{d}{i}") / (F.lit(size) * F.pow(F.lit(2.0), "level"))) for i in (0, 1))
+            df = df.withColumn(f"cell_{d}", F.explode(F.when(low == high, F.array(low)).otherwise(F.array(low, high))))
+        return df
+
+    home = on_grid(rows.withColumn("level", F.col("own")))
+    asked = on_grid(rows.withColumn("level", F.explode(F.filter(F.array(*[F.lit(x) for x in levels]), lambda x: x >= F.col("own"))))) if levels else home
+    keys = ["level", *[f"cell_{d}" for d in dims]]
+    a = asked.select(*keys, *[F.col(c).alias(f"a_{c}") for c in ("id", "own", *corners)])
+    b = home.select(*keys, *[F.col(c).alias(f"b_{c}") for c in ("id", *corners)])
+    both = a.join(b, keys).where("a_own < level or a_id < b_id")
     for d, size in cell.items():
         both = both.where((F.col(f"a_{d}0") <= F.col(f"b_{d}1")) & (F.col(f"a_{d}1") >= F.col(f"b_{d}0")))
-        both = both.where(F.col(f"cell_{d}") == F.floor(F.greatest(f"a_{d}0", f"b_{d}0") / size))
-    return both.select("a_id", "b_id")
+        both = both.where(F.col(f"cell_{d}") == F.floor(F.greatest(f"a_{d}0", f"b_{d}0") / (F.lit(size) * F.pow(F.lit(2.0), "level"))))
+    return both.select(F.least("a_id", "b_id").alias("a_id"), F.greatest("a_id", "b_id").alias("b_id"))

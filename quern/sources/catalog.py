@@ -14,8 +14,12 @@ def master(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def statistics(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
-    """(name, n_rows, n_columns); the counts come from Parquet footers."""
-    parts = [df.agg(F.count("*").alias("n_rows")).select(F.lit(t).alias("name"), "n_rows", F.lit(len(df.columns)).cast("long").alias("n_columns")) for t, df in tables.items()]
+    """(name, n_rows, n_columns, payload): rows, columns, and bytes of the texts and binaries."""
+    parts = []
+    for t, df in tables.items():
+        sizes = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema.fields if f.dataType.typeName() in ("string", "binary")]
+        payload = F.coalesce(F.sum(reduce(lambda a, b: a + b, sizes, F.lit(0)).cast("long")), F.lit(0))
+        parts.append(df.agg(F.count("*").alias("n_rows"), payload.alias("payload")).select(F.lit(t).alias("name"), "n_rows", F.lit(len(df.columns)).cast("long").alias("n_columns"), "payload"))
     return reduce(DataFrame.unionAll, parts)
 
 

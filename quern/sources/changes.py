@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def diff(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -39,3 +40,13 @@ def conflicts(table: DataFrame, changes: DataFrame, keys: list[str]) -> DataFram
     joined = changes.join(now, keys, "left")
     bad = reduce(lambda a, b: a | b, [(F.col("op") == "I") & F.col("__now").isNotNull(), (F.col("op") != "I") & ~F.col("old").eqNullSafe(F.col("__now"))])
     return joined.where(bad).drop("__now")
+
+
+def encode(changes: DataFrame) -> DataFrame:
+    """(payload binary): a changeset that can be stored or sent, a row a change."""
+    return changes.select(F.encode(F.to_json(F.struct(*changes.columns), {"ignoreNullFields": "false"}), "utf-8").alias("payload"))
+
+
+def decode(payloads: DataFrame, schema: StructType) -> DataFrame:
+    """The changes of a changeset; ``schema`` is that of the changes."""
+    return payloads.select(F.from_json(F.decode("payload", "utf-8"), schema, {"mode": "FAILFAST"}).alias("c")).select("c.*")

@@ -3,8 +3,8 @@
 A table is an immutable DataFrame; a statement builds the next one and swaps a pointer in a dictionary on the driver.
 Nothing is computed until a table is read, but what a constraint must look at: a statement looks at the rows it touches (new keys
 are looked up in the others), only for constraints on columns that it changes, and all in one job.  A statement that fails
-changes nothing.  A transaction keeps the dictionary it began with.  After ``CUT`` statements a table's lineage is cut by a
-checkpoint in the shared folder.
+changes nothing.  A transaction keeps the dictionary it began with.  After ``CUT`` statements a table's lineage is cut by
+writing it to the shared folder.
 
 Where SQL goes row by row, a statement here goes by sets.  Where order decides (which of two new rows with one key stays),
 rows count in the order in which they are read.
@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.shared import reliable, write
+from quern.shared import shared_table, write
 
 CUT = 20
 
@@ -305,8 +305,9 @@ class Store:
             return t.df.where("false")
         if unknown := [c for c in rows.columns if c not in t.df.columns]:
             raise ValueError(f"table {name} has no column named {unknown[0]}")
-        full = self._full(t, rows).withColumn("__n", F.monotonically_increasing_id())
+        full = self._full(t, rows)
         if conflict in ("ignore", "replace", "fail"):
+            full = shared_table(full.withColumn("__n", F.monotonically_increasing_id()), "rows")  # settles the order that decides
             for key in t.keys():
                 nth = F.row_number().over(Window.partitionBy(*key, F.when(~_all_set(key), F.col("__n"))).orderBy(F.col("__n").desc() if conflict == "replace" else F.col("__n")))
                 full = full.withColumn("__nth", nth)
@@ -357,12 +358,12 @@ class Store:
         t = self.tables[name]
         if not self.authorize("insert", name):
             return t.df.where("false")
-        full = self._full(t, rows).withColumn("__n", F.monotonically_increasing_id())
+        full = shared_table(self._full(t, rows).withColumn("__n", F.monotonically_increasing_id()), "rows")  # settles the order that decides
         nth = F.row_number().over(Window.partitionBy(*keys, F.when(~_all_set(keys), F.col("__n"))).orderBy(F.col("__n").desc()))
         full = full.withColumn("__nth", nth).where("__nth = 1").select(*t.df.columns)
         added = full.join(t.df, keys, "left_anti").select(*t.df.columns)
         new = full.where(_all_set(keys)).select(*keys, F.struct(*t.df.columns).alias("excluded"))
-        joined = t.df.join(new, keys, "left").select(*t.df.columns, "excluded")
+        joined = t.df.join(new, keys, "left").select(*t.df.columns, "excluded").alias(name.split(".")[-1])
         hit = F.col("excluded").isNotNull() & _matches(where) if update else F.lit(False)
         marked = joined.select(*t.df.columns, hit.alias("__hit"), F.struct(*[F.expr(e).cast(t.df.schema[c].dataType).alias(c) for c, e in (update or {}).items()] or [F.lit(1).alias("__none")]).alias("__new"))
         with self._statement("abort"):
@@ -382,6 +383,7 @@ class Store:
             one = source.where(_all_set(on)).groupBy(*on).agg(F.min(F.struct(*(rest or on))).alias("source"))
             df = df.join(one, on, "left")
             hit = hit & F.col("source").isNotNull()
+        df = df.alias(name.split(".")[-1])
         new = F.struct(*[F.expr(e).cast(t.df.schema[c].dataType).alias(c) for c, e in values.items()])
         return self.update_marked(name, df.select(*t.df.columns, hit.alias("__hit"), new.alias("__new")), conflict)
 
@@ -588,7 +590,7 @@ class Store:
         """The table's next snapshot: what is touched is checked, and other tables react to ``changes`` (old, new) of its rows."""
         t = self.tables[name]
         if t.age + 1 >= CUT:
-            t = replace(t, df=reliable(df), age=-1)
+            t = replace(t, df=shared_table(df, "snapshot"), age=-1)
         else:
             t = replace(t, df=df)
         self.tables[name] = replace(t, age=t.age + 1)

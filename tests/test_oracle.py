@@ -41,14 +41,14 @@ def test_outer_joins_and_exists_over_whole_tables(spark, duck):
     run = lambda key: [tuple(r) for r in catalog.queries()[key](spark, SF).collect()]
     customers = {r[0] for r in duck.sql("select c_custkey from customer").fetchall()}
     orders = {r[0] for r in duck.sql("select o_orderkey from orders").fetchall()}
-    left, right, full = run("join_left_whole"), run("join_right_whole"), run("join_full_whole")
+    left, right, full = run("join_left"), run("join_right"), run("join_full")
     assert {c for c, _ in left} == {c for _, c in right} == customers and any(o is None for _, o in left)
     assert {o for o, _ in full} - {None} == orders and {c for _, c in full} - {None} == customers
     assert sum(c is None for _, c in full) == len(orders) - sum(o is not None for _, o in left) > 0
-    assert {r[0] for r in run("pred_exists_whole")} == customers
+    assert {r[0] for r in run("pred_exists")} == customers
 
 
-@pytest.mark.parametrize("key,table", [("sort_multi_whole", "orders"), ("sort_expr_whole", "orders"), ("sort_nulls_whole", "orders"), ("sorter_whole", "lineitem"), ("scan_reverse_whole", "orders")])
+@pytest.mark.parametrize("key,table", [("sort_multi", "orders"), ("sort_expr", "orders"), ("sort_nulls", "orders"), ("sorter", "lineitem"), ("scan_reverse", "orders")])
 def test_sorts_return_whole_tables_in_order(spark, duck, key, table):
     got = [tuple(r) for r in catalog.queries()[key](spark, SF).collect()]
     assert got == duck.sql(catalog.oracle_sql()[key]).fetchall()
