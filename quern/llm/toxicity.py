@@ -33,6 +33,7 @@ from quern.llm.common import free_names, tidied
 MAX_ROWS, FOLDS, HELD_OUT, THRESHOLD = 3000, 4, 2, 0.3
 #: Characters of each class to fit on at most: rows beyond that, in the order of their ids' hashes, are not fitted on.
 MAX_CHARS = 60_000_000
+HASHES = 1 << 40
 BUCKET_BITS, DIM, SIZES = 18, 4, (3, 4, 5)
 BUCKETS = 1 << BUCKET_BITS
 STEPS, RATE, DECAY, SEED = 200, 0.1, 5e-6, 7
@@ -187,9 +188,13 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         .groupBy("id")
         .agg((F.max("y") > 0).cast("int").alias("y"))
     )
-    # ids alone are ranked, and a task passes on MAX_ROWS of each class at most; the texts of these ids follow by a join on the id
-    order = Window.partitionBy("y").orderBy(F.xxhash64("id"), "id")
+    # ids alone are ranked; the texts of those chosen follow by a join on the id
+    order = Window.partitionBy("y").orderBy(F.pmod(F.xxhash64("id"), F.lit(HASHES)), "id")
     sizes = {0: 0, 1: 0} | {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}  # two rows
+    # hashes beyond this have no chance to be among the MAX_ROWS lowest (ten standard deviations), however many tasks there are
+    for y, n in sizes.items():
+        share = min(1.0, (MAX_ROWS + 10 * math.sqrt(MAX_ROWS)) / max(1, n))
+        known = known.where((F.col("y") != y) | (F.pmod(F.xxhash64("id"), F.lit(HASHES)) < int(share * HASHES)))
     picked = F.broadcast(known.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= MAX_ROWS))
     sample = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(picked, "id").groupBy("id").agg(F.min("text").alias("text"), F.min("y").alias("y"), F.min("nth").alias("nth"))
     until = Window.partitionBy("y").orderBy("nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
