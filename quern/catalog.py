@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.operators import aggregates, changes, joins, predicates, scalars, scans, sets, sorts, windows  # noqa: F401
+from quern.operators import aggregates, changes, joins, predicates, scalars, scans, sets, sorts, statements, windows  # noqa: F401
 from quern.plans import flagship  # noqa: F401
 from quern.registry import ORACLE, QUERIES, Query
 

@@ -11,6 +11,7 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
     "spark.sql.cteRecursionLevelLimit": "100000",
+    "spark.sql.unionOutputPartitioning": "false",
     "spark.serializer": "org.apache.spark.serializer.KryoSerializer",
 }
 

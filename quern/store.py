@@ -97,6 +97,8 @@ def _renamed(expression: str, column: str, to: str) -> str:
 class Store:
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        # snapshots are unions of what stayed and what is new, whose partitions need not be as many
+        spark.conf.set("spark.sql.unionOutputPartitioning", "false")
         self.tables: dict[str, Table] = {}
         self.views: dict[str, str] = {}
         self.triggers: list[Trigger] = []
@@ -397,6 +399,8 @@ class Store:
             raise ValueError(f"cannot update generated column {computed[0]}")
         if conflict in ("ignore", "replace"):
             marked, gone = self._yield_keys(t, marked, columns, conflict)
+            marked = shared_table(marked, "marked")  # settles which rows yield, and keeps the plan small
+            gone = gone if gone is None else shared_table(gone, "gone")
         with self._statement(conflict):
             if conflict == "replace" and gone is not None:
                 lost = gone.select(F.struct(*t.df.columns).alias("old"), F.lit(None).alias("new"))
@@ -404,12 +408,15 @@ class Store:
             return self._update(name, t, marked, columns)
 
     def _yield_keys(self, t: Table, marked: DataFrame, columns: list[str], conflict: str) -> tuple[DataFrame, DataFrame | None]:
-        """Rows that would take a key of another: ignored, or the others go (second result)."""
+        """Rows that would take a key of another: ignored, or the others go (second result).
+
+        A key counts as taken if any other row has it before the statement.
+        """
         gone = None
         for key in t.keys(set(columns)):
             new = [(F.col(f"__new.{c}") if c in columns else F.col(c)).alias(c) for c in key]
             wanted = marked.where("__hit").select(*new).where(_all_set(key)).distinct().withColumn("__wanted", F.lit(True))
-            taken = marked.where("not __hit").where(_all_set(key)).select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(key)]).distinct().withColumn("__taken", F.lit(True))
+            taken = marked.where(_all_set(key)).select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(key)]).distinct().withColumn("__taken", F.lit(True))
             if conflict == "replace":
                 both = marked.join(wanted, list(key), "left")
                 lost = F.col("__wanted").isNotNull() & ~F.col("__hit")
@@ -426,7 +433,8 @@ class Store:
             else:
                 on = [n == F.col(f"__k{i}") for i, n in enumerate(new)]
                 joined = numbered.join(taken, reduce(lambda a, b: a & b, on), "left")
-                stays = F.col("__hit") & F.col("__taken").isNull() & (F.col("__nth") == 1)
+                same = reduce(lambda a, b: a & b, [n.eqNullSafe(F.col(c)) for n, c in zip(new, key, strict=True)])
+                stays = F.col("__hit") & (same | (F.col("__taken").isNull() & (F.col("__nth") == 1)))
                 marked = joined.select(*t.df.columns, stays.alias("__hit"), "__new")
         return marked, gone
 
