@@ -9,7 +9,8 @@ the point that lies as many standard deviations below the mean of the allowed as
 
 Scale: characters are mapped to ``BASE`` symbols, so a model is BASE^3 weights whatever the data.  Counts cover every
 ruled url and are summed within a task before the one small shuffle; the table of weights (36 thousand numbers) and
-the threshold go into the plan as literals, and judging is a narrow map over the pruned url column.
+the threshold go into the plan as literals.  Pages are scanned twice: for the counts, and to score each url once into a table in the
+shared folder (name the columns to keep beforehand), which gives the threshold and the verdicts.
 
 Defined results: a null url or one without "://" has empty host and path, no score, and is blocked; repeated rows are
 judged alike; with no allowed or no blocked url the threshold is 0 and the missing model uniform; other columns are left alone;
@@ -21,7 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import ASCII_LOWER, ASCII_UPPER
+from quern.llm.common import ASCII_LOWER, ASCII_UPPER, free_names
+from quern.shared import drop_table, shared_table
 
 #: (allow or block, host/path) of the query.
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -67,7 +69,9 @@ def grams(text: Column) -> Column:
 def train(labelled: DataFrame) -> str:
     """(grams array, accepted boolean) -> the BASE^3 log-likelihood ratios as text, by number, comma-separated."""
     spark = labelled.sparkSession
-    counts = labelled.select(F.explode("grams").alias("g"), "accepted").groupBy("g").agg(F.count_if("accepted").alias("yes"), F.count_if(~F.col("accepted")).alias("no"))
+    # BASE^3 rows at most, read for the totals and for the weights
+    counts = shared_table(labelled.select(F.explode("grams").alias("g"), "accepted").groupBy("g").agg(F.count_if("accepted").alias("yes"), F.count_if(~F.col("accepted")).alias("no")), "counts")
+    totals = counts.agg(F.coalesce(F.sum("yes"), F.lit(0)).alias("yes"), F.coalesce(F.sum("no"), F.lit(0)).alias("no")).first()
     grid = spark.range(BASE**3).withColumnRenamed("id", "g").join(counts, "g", "left").na.fill(0, ["yes", "no"])
     grid = grid.withColumns({"a": F.floor(F.col("g") / BASE**2), "b": F.floor(F.col("g") / BASE) % BASE, "c": F.col("g") % BASE})
     over = {k: Window.partitionBy(*k) for k in ("ab", "bc", "b", "c")}
@@ -82,13 +86,14 @@ def train(labelled: DataFrame) -> str:
         )
         grid = grid.withColumn(f"s_{n}", s)
         grid = grid.withColumn(f"k_{n}", F.sum((F.col(f"s_{n}.bc") > 0).cast("int")).over(over["b"]) / BASE)
-        total = grid.groupBy().agg(F.coalesce(F.sum(n), F.lit(0)).alias("n")).first()[0]
-        p1 = (F.col(f"s_{n}.c") + 1) / F.lit(float(total + BASE))
+        p1 = (F.col(f"s_{n}.c") + 1) / F.lit(float(totals[n] + BASE))
         p2 = _mixed(F.col(f"s_{n}.bc"), F.col(f"s_{n}.b"), F.col(f"k_{n}"), p1)
         p3 = _mixed(F.col(n), F.col(f"s_{n}.ab"), F.col(f"s_{n}.kinds_ab"), p2)
         ratio = ratio + sign * F.log(p3)
     row = grid.select("g", F.format_string("%.5f", ratio).alias("w")).agg(F.array_sort(F.collect_list(F.struct("g", "w"))).alias("x"))
-    return row.select(F.array_join(F.transform("x", lambda x: x["w"]), ",")).first()[0]
+    out = row.select(F.array_join(F.transform("x", lambda x: x["w"]), ",")).first()[0]
+    drop_table(counts)
+    return out
 
 
 def _mixed(n: Column, context: Column, kinds: Column, lower: Column) -> Column:
@@ -99,23 +104,25 @@ def _mixed(n: Column, context: Column, kinds: Column, lower: Column) -> Column:
 def judge(pages: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
     """``pages`` with host, path, rule, score (null where a rule or nothing decides) and verdict."""
     names = [c for c in pages.columns if c not in ("host", "path", "rule", "score", "verdict")]
-    base = pages.select(*names, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), rest_of(F.col(url)).alias("__rest"))
-    base = base.withColumn("rule", _rule(F.col("host"), F.col("path"), rules, lambda v, t: t))
-    ruled = _rule(F.col("host"), F.col("path"), rules, lambda v, t: v)
-    text = F.concat("host", "__rest")
-    labelled = base.where(F.col("rule").isNotNull() & (text != "")).select(grams(text).alias("grams"), (ruled == "allow").alias("accepted"))
+    text, ruled, accepted = free_names([*pages.columns, "host", "path", "rule", "score", "verdict"], "__text", "__ruled", "__accepted")
+    base = pages.select(*names, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.concat(host_of(F.col(url)), rest_of(F.col(url))).alias(text))
+    base = base.withColumns({"rule": _rule(F.col("host"), F.col("path"), rules, lambda v, t: t), ruled: _rule(F.col("host"), F.col("path"), rules, lambda v, t: v)})
+    some = F.col(text) != ""
+    labelled = base.where(F.col("rule").isNotNull() & some).select(grams(F.col(text)).alias("grams"), (F.col(ruled) == "allow").alias("accepted"))
     weights = F.split(F.lit(train(labelled)), ",").cast("array<double>")
 
     def score(g: Column) -> Column:
         return F.try_divide(F.aggregate(g, F.lit(0.0), lambda s, x: s + F.get(weights, x.cast("int"))), F.size(g))
 
-    by = labelled.groupBy("accepted").agg(F.avg(score(F.col("grams"))).alias("m"), F.coalesce(F.stddev_pop(score(F.col("grams"))), F.lit(0.0)).alias("s"))
-    found = {r["accepted"]: (r["m"], r["s"] + 1e-6) for r in by.collect()}  # two rows
+    # every url is scored once; the ruled ones for the threshold
+    scored = shared_table(base.withColumn("score", F.when(some, score(grams(F.col(text))))).drop(text), "scored")
+    by = scored.where(F.col("rule").isNotNull() & F.col("score").isNotNull()).groupBy((F.col(ruled) == "allow").alias(accepted))
+    found = {r[accepted]: (r["m"], r["s"] + 1e-6) for r in by.agg(F.avg("score").alias("m"), F.coalesce(F.stddev_pop("score"), F.lit(0.0)).alias("s")).collect()}  # two rows
     (yes, sy), (no, sn) = found.get(True, (0.0, 1.0)), found.get(False, (0.0, 1.0))
     threshold = (yes * sn + no * sy) / (sy + sn) if len(found) == 2 else 0.0
-    own = F.when(F.col("rule").isNull() & (text != ""), score(grams(text)))
     method = F.when(F.col("score") >= threshold, "allow").otherwise("block")
-    return base.withColumn("score", own).withColumn("verdict", F.coalesce(ruled, method)).drop("__rest")
+    verdict = F.coalesce(F.col(ruled), method).alias("verdict")
+    return scored.select(*names, "host", "path", "rule", F.when(F.col("rule").isNull(), F.col("score")).alias("score"), verdict)
 
 
 def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import statistics
 import time
 
 import pytest
@@ -45,7 +46,8 @@ def test_url_model_equals_brute_force(spark):
     rng = random.Random(4)
     rows = [(i, f"http://{''.join(rng.choice('abc') for _ in range(4))}.{'org' if i % 2 else 'com'}/{'de' if i % 2 == 0 else 'aa'}/{i}") for i in range(60)]
     rows += [(100 + i, f"http://{''.join(rng.choice('abc') for _ in range(4))}.net/{i}") for i in range(20)]
-    got = {r.page_id: r.score for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    judged = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    got = {i: r.score for i, r in judged.items()}
     base, symbols = urls.BASE, urls.SYMBOLS
     code = lambda c: symbols.index(c) + 1 if c in symbols else base - 1
 
@@ -76,6 +78,15 @@ def test_url_model_equals_brute_force(spark):
     for i, u in rows[60:]:
         g = grams(u)
         assert got[i] == pytest.approx(sum(math.log(yes(*x)) - math.log(no(*x)) for x in g) / len(g), abs=1e-4)
+    # the threshold: as many standard deviations below the mean of the allowed as above that of the blocked
+    score = {i: sum(math.log(yes(*x)) - math.log(no(*x)) for x in grams(u)) / len(grams(u)) for i, u in rows}
+    (my, sy), (mn, sn) = ((statistics.fmean(v), statistics.pstdev(v) + 1e-6) for v in ([score[i] for i in range(60) if i % 2], [score[i] for i in range(60) if i % 2 == 0]))
+    threshold = (my * sn + mn * sy) / (sy + sn)
+    for i in range(100, 120):
+        if abs(score[i] - threshold) > 1e-3:
+            assert judged[i].verdict == ("allow" if score[i] >= threshold else "block")
+    assert all(judged[i].verdict == ("allow" if i % 2 else "block") and judged[i].score is None for i in range(60))
+    assert len({judged[i].verdict for i in range(100, 120)}) == 2
 
 
 def test_url_model_reads_query_and_fragment(spark):
