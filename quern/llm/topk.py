@@ -59,7 +59,7 @@ class Lists:
     def search(self, own: int, query: np.ndarray) -> list[tuple[int, int]]:
         """(score, id) of the k best rows but ``own``, best first."""
         n, dims = self.vectors.shape
-        used = np.flatnonzero(query)
+        used, rises, falls = np.flatnonzero(query), np.flatnonzero(query > 0), np.flatnonzero(query < 0)
         values = self.vectors
         if dims * int(self.largest) * max(abs(x) for x in query.tolist()) >= 1 << 63:  # a score may be beyond 64 bits: Python's integers
             values, query = values.astype(object), query.astype(object)
@@ -70,11 +70,13 @@ class Lists:
         while at < n:
             to = min(n, at + step)
             if len(used):
-                rows = np.unique(np.concatenate([(self.down if query[d] > 0 else self.up)[at:to, d] for d in used]))
+                met = np.zeros(n, bool)
+                met[self.down[at:to, rises]] = True
+                met[self.up[at:to, falls]] = True
+                rows = np.flatnonzero(met & ~seen)
+                seen |= met
             else:
                 rows, to = np.arange(n), n  # every score is zero: all are met
-            rows = rows[~seen[rows]]
-            seen[rows] = True
             found = values[rows] @ query
             scores = np.concatenate((scores, found if found.dtype == np.int64 else np.clip(found, -(1 << 63), (1 << 63) - 1)))
             groups = np.concatenate((groups, rows))
@@ -84,7 +86,8 @@ class Lists:
                 scores, groups = scores[keep], groups[keep]
             at, step = to, step * 2
             if at < n:
-                bound = sum(int(query[d]) * int(self.vectors[(self.down if query[d] > 0 else self.up)[at - 1, d], d]) for d in used)
+                reached = [(d, self.down[at - 1, d]) for d in rises] + [(d, self.up[at - 1, d]) for d in falls]
+                bound = sum(int(query[d]) * int(self.vectors[row, d]) for d, row in reached)
                 best = self._rows(scores, groups, own)
                 if len(best) == self.k and best[-1][0] > bound:
                     return best
