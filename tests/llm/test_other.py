@@ -33,6 +33,14 @@ def test_chat_round_trip(spark):
     assert chat.format_chat(df.where("false")).count() == 0
 
 
+def test_chat_of_very_long_and_many_turns(spark):
+    rows = [(1, 0, "user", "a</s>\\ " * 100_000), (1, 1, "assistant", "[INST]" * 50_000)] + [(2, i, ["user", "assistant"][i % 2], f"t{i}</s>") for i in range(2000)]
+    out = chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {r.conv_id: r for r in out.select("*", chat.read_back(F.col("formatted")).alias("back"), chat.loss_text(F.col("segments")).alias("loss")).collect()}
+    assert [(t.role, t.text) for t in got[1].back] == [r[2:] for r in rows[:2]] and got[1].loss == rows[1][3]
+    assert [t.text for t in got[2].back] == [r[3] for r in rows[2:]] and got[2].valid and got[2].loss == "".join(r[3] for r in rows[3::2])
+
+
 def test_urls(spark):
     rows = [(1, "HTTP://A.ExAmple.ORG/es/x?y#z"), (2, None), (3, "nothing"), (4, "http://x.org"), (5, "http://example.org/en/1"), (6, "a://b://c/d"), (7, "http://com/fr/"), (8, "http://a.com/fr"), (9, "http://É.com/de/ü?q"), (9, "http://É.com/de/ü?q"), (10, "u://" + "h" * 3000)]
     df = spark.createDataFrame([(*r, 5.0, "mine") for r in rows], "page_id long, url string, score double, verdict string")

@@ -299,6 +299,21 @@ def test_passages_of_a_long_run_are_cut(monkeypatch):
     assert start.tolist() == [0, 64, 128, 150, 153] and n.tolist() == [64, 64, 22, 3, 64]
 
 
+def test_very_long_texts(spark):
+    """A text of 150 thousand words, its copy with a new middle, one word of half a million letters, and one line a hundred thousand times."""
+    rng = random.Random(17)
+    words = [f"w{rng.randrange(10**5)}" for _ in range(150_000)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:70_000], "new", *words[70_000:]])), (3, "x" * 500_000), (4, "all work and no play " * 100_000), (5, "all work and no play " * 50 + "x" * 500_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = {r.doc_id: r for r in substrings.dedup(df).collect()}
+    assert [out[i]["__removed"] for i in range(1, 6)] == [0, 150_000, 0, 0, 250]
+    assert [tuple(s) for s in out[2]["__spans"]] == [(0, 70_000, 1, 0), (70_001, 80_000, 1, 70_000)] and out[2]["__kept"] == "new"
+    fps = {r.doc_id: r.fp for r in simhash.near_classes(df, "doc_id", "text").collect()}
+    assert len({fps[1], fps[2]}) <= 2 and (fps[1] ^ fps[2]).bit_count() <= 3 and fps[3] & (2**64 - 1) == brute_fingerprint(rows[2][1])
+    scores = toxicity.Scorer(np.ones(toxicity.BUCKETS, np.float32), -1.0).scores([t for _, t in rows])
+    assert scores == pytest.approx([0.5] * 5)
+
+
 def test_substring_spans_name_their_source(spark):
     rng = random.Random(12)
     words = [f"w{rng.randrange(10**6)}" for _ in range(400)]
