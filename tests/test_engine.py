@@ -1,5 +1,9 @@
 """SQL text into the store: statements, constraints, triggers, transactions, PRAGMAs, functions, hooks."""
 
+import os
+import subprocess
+import sys
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -279,6 +283,24 @@ def test_json_members(spark):
     assert [tuple(r) for r in got] == [("0", "1"), ("1", "x"), ("2", '{"a":[2]}'), ("3", None), ("k", "1"), ("l", "m")]
 
 
+def test_workers_elsewhere_import_the_package_that_is_shipped(tmp_path):
+    """A session in another folder, without this one on its workers' path."""
+    code = """
+import sys
+sys.path.insert(0, {root!r})
+from quern.session import builder, ship
+spark = builder("ship", spark__master="local[2]", spark__ui__enabled="false").getOrCreate()
+sys.path.pop(0)
+ship(spark)
+from quern.sources import series
+print("rows", series.series(spark, 0, 10, 1).count())
+"""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(stores.__file__)))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code.format(root=root)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300, check=False)
+    assert "rows 10" in done.stdout, done.stderr[-2000:]
+
+
 def test_shared_tables_lie_in_the_folder_of_the_application(spark):
     made = shared_table(spark.range(3), "numbers")
     assert made._quern_path.startswith(f"{shared_dir(spark)}/quern-{spark.sparkContext.applicationId}/numbers-") and made.count() == 3
