@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from quern.shared import drop_table, shared_table
 
+#: Tasks that the links of one node are dealt to.
+SALTS = 16
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
 
@@ -70,13 +72,19 @@ def free_names(columns: list[str], *wanted: str) -> list[str]:
     return out
 
 
+def _with_least(edges: DataFrame, low: DataFrame) -> DataFrame:
+    """``edges`` (u, v) joined with ``low`` (u, m): a hub's edges are dealt to ``SALTS`` tasks, each with its row of ``low``."""
+    salted = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    return salted.join(low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["u", "salt"])
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """``edges`` (u long, v long) -> (node, component) with component the smallest node reachable.
 
     Alternating large-star and small-star rounds, each written to the shared folder; the driver sees
     only a row count and a checksum a round.  Each partition first contracts its own edges to a star
     forest.  Every node of an edge between two nodes is returned, the component's smallest too; a node without such an
-    edge is not.  Null ends are ignored.
+    edge is not.  Null ends are ignored.  A hub's links are salted, as it may be linked with a third of all nodes.
     """
     cur = shared_table(
         edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
@@ -93,9 +101,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         before = now
         both = cur.unionAll(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u"), F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = _with_least(both.where("v > u"), low).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v")))
+        small = _with_least(large, low).select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v")))
         new = shared_table(small.where("u <> v").distinct(), "edges")
         drop_table(cur)
         cur = new
