@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from quern.registry import sql_operator
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quern.plans.running import running
+from quern.registry import operator, sql_operator
+from quern.tables import load
 
 _W = "PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey"
 _ALL = "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
@@ -31,3 +36,14 @@ sql_operator(
     FROM (SELECT *, dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderdate) AS g FROM {orders})""",
     "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS n FROM orders",
 )
+
+
+@operator(
+    "win_whole_table",
+    "SELECT o_orderkey, row_number() OVER w AS place, CAST(sum(o_custkey) OVER w AS BIGINT) AS running FROM orders WINDOW w AS (ORDER BY o_orderstatus, o_totalprice DESC, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)",
+)
+def win_whole_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A window without PARTITION BY, by ranges of its order and totals of the ranges before."""
+    orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    order = ["o_orderstatus", F.desc("o_totalprice"), "o_orderkey"]
+    return running(orders, order, {"running": "o_custkey"}, "place").select("o_orderkey", "place", "running")

@@ -11,6 +11,7 @@ from quern.functions import dates as D
 from quern.functions import json as J
 from quern.functions import numbers as N
 from quern.functions import strings as S
+from quern.plans import running as running_plan
 from quern.plans.recursion import RecursionLimitError, fixpoint
 from quern.sources import boxes, changes, fulltext
 from quern.store import ConstraintError, ForeignKey, Store
@@ -82,6 +83,20 @@ def test_recursion(spark):
     assert sorted(r.n for r in ring.collect()) == [0, 1, 2, 3]
 
 
+def test_running_sums_over_a_whole_order(spark, monkeypatch):
+    monkeypatch.setattr(running_plan, "LEVEL", 2)
+    rng = random.Random(4)
+    rows = [(i, rng.choice(["hot", "hot", "a", None]), rng.choice([None, 1, 5])) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, k string, v int").repartition(5)
+    got = running_plan.running(df, [F.desc_nulls_last("k"), "id"], {"s": "v"}, "n", parts=7).collect()
+    want, total = [], 0
+    for n, (i, k, v) in enumerate(sorted(rows, key=lambda r: (r[1] is None, [-ord(c) for c in r[1] or ""], r[0])), 1):
+        total += v or 0
+        want.append((i, k, v, n, total))
+    assert sorted(tuple(r) for r in got) == sorted(want, key=lambda r: r[0])
+    assert running_plan.running(df.where("false"), ["id"], number="n").count() == 0
+
+
 def test_fulltext_and_boxes(spark):
     docs = spark.createDataFrame([(1, "The quick brown fox"), (2, "quickly done"), (3, None)], "id int, t string")
     assert [r.id for r in docs.where(fulltext.match(F.col("t"), "quick")).collect()] == [1, 2]
