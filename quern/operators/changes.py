@@ -113,9 +113,8 @@ def dml_returning(spark: SparkSession, sf_dir: str) -> DataFrame:
 def changes_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _store(spark, sf_dir, "nation", "region")
     s.insert("region", _region(spark, (9, "x")))
-    s.count_changes()
     s.delete("nation", "n_regionkey = 2")
-    changes = s.count_changes()
+    changes = s.changes
     return spark.range(1).select(F.lit(changes).cast("bigint").alias("changes"), F.lit(s.total_changes).cast("bigint").alias("total"))
 
 

@@ -4,7 +4,7 @@ A table is an immutable DataFrame; a statement builds the next one and swaps a p
 Nothing is computed until a table is read, but what a constraint must look at: a statement looks at the rows it touches (new keys
 are looked up in the others), only for constraints on columns that it changes, and all in one job.  A statement that fails
 changes nothing.  A transaction keeps the dictionary it began with.  After ``CUT`` statements a table's lineage is cut by
-writing it to the shared folder.
+writing it to the shared folder, as plans grow with every statement.
 
 Where SQL goes row by row, a statement here goes by sets.  Where order decides (which of two new rows with one key stays),
 rows count in the order in which they are read.
@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from quern.shared import shared_table, write
 
-CUT = 20
+#: Statements after which a table is written; one that reads the table several times counts as THRICE.
+CUT, THRICE = 5, 3
 
 
 class ConstraintError(ValueError):
@@ -109,8 +110,10 @@ class Store:
         self.authorizer: Callable[..., str] | None = None
         self.foreign_keys = True
         self.settings: dict[str, object] = {"user_version": 0}
-        self.changes = self.total_changes = 0
-        self._touched: DataFrame | None = None
+        self._touched: DataFrame | None = None  # by the last statement, and how many rows if that is known
+        self._n: int | None = 0
+        self._uncounted: list[DataFrame] = []
+        self._counted = 0
         for init in AUTO_EXTENSIONS:
             init(self)
 
@@ -345,8 +348,8 @@ class Store:
             if gone is not None and any(fk.parent == name for x in self.tables.values() for fk in x.foreign):
                 self._change(name, old, changes=gone.select(F.struct(*t.df.columns).alias("old"), F.lit(None).alias("new")))
                 old = self.tables[name].df
-            self._change(name, old.unionByName(full), touched=full, rest=old)
-            self._touched = full
+            self._change(name, old.unionByName(full), touched=full, rest=old, cost=1 if conflict in ("abort", "rollback") else THRICE)
+            self._count(full)
             self._fire("after", "insert", name, changes)
         if error:
             raise error
@@ -452,8 +455,8 @@ class Store:
             self._fire("before", "insert", name, inserted)
         after = out.select(*t.df.columns)
         touched = changed if added is None else changed.unionByName(added)
-        self._change(name, after if added is None else after.unionByName(added), touched=touched, rest=rest, columns=None if added is not None else {*columns, *t.generated}, changes=changes if columns else None)
-        self._touched = touched
+        self._change(name, after if added is None else after.unionByName(added), touched=touched, rest=rest, columns=None if added is not None else {*columns, *t.generated}, changes=changes if columns else None, cost=1 if added is None else THRICE)
+        self._count(touched)
         if columns:
             self._fire("after", "update", name, changes, columns)
         if added is not None:
@@ -474,7 +477,7 @@ class Store:
         with self._statement("abort"):
             self._fire("before", "delete", name, changes)
             self._change(name, marked.where("not __hit").select(*t.df.columns), changes=changes)
-            self._touched = gone
+            self._count(gone)
             self._fire("after", "delete", name, changes)
         return gone
 
@@ -572,12 +575,14 @@ class Store:
             if (t.time, t.event, t.table) != (time, event, table) or (t.columns and not set(t.columns) & set(columns)):
                 continue
             rows = changes.where(_matches(t.when)) if t.when else changes
+            own = self._touched, self._n
             if isinstance(t.body, str):
                 from quern.engine import run_body
 
                 run_body(self, t.body, rows)
             elif not rows.isEmpty():
                 t.body(self, rows) if len(inspect.signature(t.body).parameters) > 1 else t.body(self)
+            self._touched, self._n = own
         if time == "after":
             for body in self.hooks["update"]:
                 body(self, table)
@@ -588,20 +593,34 @@ class Store:
         with self._statement("abort"):
             self._fire("instead of", event, view, changes, columns)
 
-    def count_changes(self) -> int:
-        """Rows that the last statement touched."""
-        self.changes = self._touched.count() if self._touched is not None else 0
-        self.total_changes += self.changes
-        return self.changes
-
-    def _change(self, name: str, df: DataFrame, *, touched: DataFrame | None = None, rest: DataFrame | None = None, columns: set[str] | None = None, changes: DataFrame | None = None, depth: int = 0) -> None:
+    def _count(self, touched: DataFrame) -> None:
+        self._touched, self._n = touched, None
+        self._uncounted.append(touched)
+
+    @property
+    def changes(self) -> int:
+        """Rows that the last statement itself inserted, updated or deleted; counted when asked for."""
+        if self._n is None:
+            self._n = self._touched.count()
+        return self._n
+
+    @property
+    def total_changes(self) -> int:
+        """Rows of all statements, those of triggers too; what is not counted yet is counted in one job."""
+        if self._uncounted:
+            counts = [df.agg(F.count("*").alias("n")) for df in self._uncounted]
+            self._counted += reduce(DataFrame.unionAll, counts).agg(F.sum("n")).first()[0]
+            self._uncounted.clear()
+        return self._counted
+
+    def _change(self, name: str, df: DataFrame, *, touched: DataFrame | None = None, rest: DataFrame | None = None, columns: set[str] | None = None, changes: DataFrame | None = None, depth: int = 0, cost: int = 1) -> None:
         """The table's next snapshot: what is touched is checked, and other tables react to ``changes`` (old, new) of its rows."""
         t = self.tables[name]
-        if t.age + 1 >= CUT:
-            t = replace(t, df=shared_table(df, "snapshot"), age=-1)
+        if t.age + cost >= CUT:
+            t = replace(t, df=shared_table(df, "snapshot"), age=-cost)
         else:
             t = replace(t, df=df)
-        self.tables[name] = replace(t, age=t.age + 1)
+        self.tables[name] = replace(t, age=t.age + cost)
         if touched is not None:
             self._check(name, touched, rest, columns)
         if changes is not None and self.foreign_keys:

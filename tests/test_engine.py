@@ -222,6 +222,18 @@ def test_copies(db, spark):
     assert rows(other, "PRAGMA database_list") == [(0, "main")]
 
 
+def test_counters(db):
+    assert (db.changes(), db.total_changes(), db.last_insert_id()) == (0, 0, None)
+    db.execute("CREATE TABLE t(id INTEGER PRIMARY KEY, n INT); INSERT INTO t(n) VALUES (1), (2), (3)")
+    assert (db.changes(), db.changes(), db.total_changes(), db.last_insert_id()) == (3, 3, 3, 3)
+    db.execute("UPDATE t SET n = 0 WHERE id > 1; DELETE FROM t WHERE id = 1; INSERT INTO t(id, n) VALUES (40, 4)")
+    assert (db.total_changes(), db.changes(), db.total_changes(), db.last_insert_id()) == (7, 1, 7, 40)
+    db.execute("DELETE FROM t WHERE id = 999")
+    assert (db.changes(), db.total_changes()) == (0, 7)
+    db.execute("CREATE TABLE log(id INT); CREATE TRIGGER g AFTER DELETE ON t BEGIN INSERT INTO log VALUES (OLD.id); INSERT INTO log VALUES (0); END; DELETE FROM t WHERE id = 40")
+    assert (db.changes(), db.total_changes()) == (1, 10)
+
+
 def test_virtual_tables_and_recursion(db):
     db.execute("CREATE VIRTUAL TABLE s USING series(1, 10, 3)")
     assert rows(db, "SELECT * FROM s") == [(1,), (4,), (7,)]
