@@ -11,7 +11,7 @@ What decides is words: a hash only names the block where they are compared.
 A window's anchor is the least hash of its 5-grams.  It depends on the window alone, so equal windows name the same block and no
 repeat is lost; consecutive windows of one anchor (five on average) are a passage, and passages overlap by 12 words.
 
-1. Anchors meet in one shuffle (anchor and id alone), which tells those of more than one document.  Most occur in one and end here.
+1. Anchors meet in one shuffle (anchor and a number of the row alone), which tells those of more than one document.  Most occur in one and end here.
 2. The passages around the others go to their blocks with their words, in order of the id, and are factored there.
 3. The factors return to their documents, which are cut.
 
@@ -21,8 +21,8 @@ in a third of all documents is one row a chunk.  A common anchor with many diffe
 and a document, so a list of 32 MB at most) get a block for each window in place of one for all.
 
 Defined results: null text has no words; ids are integers, any other type is an error; null ids are never smaller or larger than
-another, so such rows stay whole; rows that share an id are judged each and never against each other (rows of one id are told
-apart by a hash of their texts); other columns pass through; an empty table gives no rows.
+another, so such rows stay whole; rows that share an id are judged each and never against each other (a row is told from others of
+its id by a hash of both, and what equal rows would send is sent once a chunk, so an id of a third of the rows is no hot key); other columns pass through; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -96,9 +96,9 @@ OPEN, SEVERAL, SETTLED = 0, 1, 2
 
 @tidied
 def _anchors(batches):
-    """(key, text bytes) -> (anchor, key, mark): each anchor of a document once; mark is 4 * documents + kind."""
+    """(row, text bytes) -> (anchor, row, mark): each anchor of a document once; mark is 4 * documents + kind."""
     for batch in batches:
-        keys = batch.column(0).to_numpy(zero_copy_only=False)
+        numbers = batch.column(0).to_numpy(zero_copy_only=False)
         at = 0
         while at < batch.num_rows:
             found, rows, size = [], [], 0
@@ -110,46 +110,47 @@ def _anchors(batches):
                 rows.append(np.full(len(a), at, np.int64))
                 size += len(a)
                 at += 1
-            anchor, key = np.concatenate(found), keys[np.concatenate(rows)].astype(np.int64)
-            if not len(key):
+            anchor, row = np.concatenate(found), numbers[np.concatenate(rows)].astype(np.int64)
+            if not len(row):
                 continue
-            order = np.lexsort((key, anchor))
-            anchor, key = anchor[order], key[order]
+            order = np.lexsort((row, anchor))
+            anchor, row = anchor[order], row[order]
             new = np.concatenate(([True], anchor[1:] != anchor[:-1]))
-            other = new | np.concatenate(([True], key[1:] != key[:-1]))  # rows that share an id count once
+            once = new | np.concatenate(([True], row[1:] != row[:-1]))  # equal rows count once
+            anchor, row, new = anchor[once], row[once], new[once]
             first = np.flatnonzero(new)
-            documents = np.add.reduceat(other, first, dtype=np.int64)
+            documents = np.diff(np.append(first, len(row)))
             several = (documents > 1)[np.cumsum(new) - 1]
-            told = anchor[first], key[first], 4 * documents + np.where(documents > 1, SEVERAL, OPEN)
-            settled = anchor[several], key[several], np.full(int(several.sum()), 4 + SETTLED)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(told, settled, strict=True)], names=["anchor", "key", "mark"])
+            told = anchor[first], row[first], 4 * documents + np.where(documents > 1, SEVERAL, OPEN)
+            settled = anchor[several], row[several], np.full(int(several.sum()), 4 + SETTLED)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(told, settled, strict=True)], names=["anchor", "row", "mark"])
 
 
 def _shared(batches):
-    """Rows of ``_anchors`` sorted by anchor -> (key, anchor, n): the anchors of each document that another document has, too.
+    """Rows of ``_anchors`` sorted by anchor -> (row, anchor, n): the anchors of each document that another document has, too.
 
-    Beside them, without a key: each anchor of more than HOT documents and their number, and the number of all pairs.
+    Beside them, without a row: each anchor of more than HOT documents and their number, and the number of all pairs.
     Of an anchor whose rows go on in the next batch only its first row is kept, as every other one has a partner.
     """
     total = 0
-    last, first, documents, rows = None, None, 0, 0  # the anchor that may go on: its first key, if open and alone; its sums
+    last, first, documents, rows = None, None, 0, 0  # the anchor that may go on: its first row, if open and alone; its sums
 
-    def out(key, anchor, n):
-        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(anchor, pa.int64()), pa.array(n, pa.int64())], names=["key", "anchor", "n"])
+    def out(row, anchor, n):
+        return pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(anchor, pa.int64()), pa.array(n, pa.int64())], names=["row", "anchor", "n"])
 
     for batch in batches:
-        anchor, key, mark = (batch.column(i).to_numpy() for i in range(3))
+        anchor, row, mark = (batch.column(i).to_numpy() for i in range(3))
         done = mark & 3 == SETTLED
         if done.any():
-            yield out(key[done], anchor[done], np.zeros(int(done.sum()), np.int64))
-            anchor, key, mark = anchor[~done], key[~done], mark[~done]
-        if not len(key):
+            yield out(row[done], anchor[done], np.zeros(int(done.sum()), np.int64))
+            anchor, row, mark = anchor[~done], row[~done], mark[~done]
+        if not len(row):
             continue
         n, kind = mark >> 2, mark & 3
         total += int(n.sum())
         start = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
         sums = np.add.reduceat(n, start)
-        count = np.diff(np.append(start, len(key)))
+        count = np.diff(np.append(start, len(row)))
         several = np.maximum.reduceat(kind, start) == SEVERAL
         goes_on = anchor[0] == last
         if goes_on:
@@ -161,14 +162,14 @@ def _shared(batches):
         if goes_on and first is not None and partner[0]:
             yield out([first], [last], [0])
             first = None
-        take = partner[np.repeat(np.arange(len(start)), np.diff(np.append(start, len(key))))] & (kind == OPEN)
+        take = partner[np.repeat(np.arange(len(start)), np.diff(np.append(start, len(row))))] & (kind == OPEN)
         if take.any():
-            yield out(key[take], anchor[take], np.zeros(int(take.sum()), np.int64))
+            yield out(row[take], anchor[take], np.zeros(int(take.sum()), np.int64))
         hot = np.flatnonzero(sums[:-1] > HOT)
         if len(hot):
             yield out([None] * len(hot), anchor[start[hot]], sums[hot])
         if len(start) > 1 or not goes_on:
-            first = None if partner[-1] else int(key[-1])
+            first = None if partner[-1] else int(row[-1])
         last, documents, rows = anchor[-1], int(sums[-1]), int(count[-1])
     if documents > HOT:
         yield out([None], [last], [documents])
@@ -176,14 +177,14 @@ def _shared(batches):
 
 
 def shared_anchors(source: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray]:
-    """(key, text) -> a table to drop, (key, anchors) of the documents that share any, and the common anchors, sorted."""
-    rows = source.where("key is not null").select("key", "text").mapInArrow(_anchors, "anchor long, key long, mark long")
-    rows = rows.repartition(F.when(F.col("mark") % 4 == SETTLED, F.xxhash64("key")).otherwise(F.col("anchor"))).sortWithinPartitions("anchor")
-    table = shared_table(rows.mapInArrow(_shared, "key long, anchor long, n long"), "anchors")
-    pairs = table.where("key is null and anchor is null").agg(F.sum("n")).first()[0] or 0
-    common = table.where(F.col("key").isNull() & F.col("anchor").isNotNull() & (F.col("n") > max(HOT, pairs // FREQUENT))).select("anchor")
+    """(key, row, text) -> a table to drop, (row, anchors) of the documents that share any, and the common anchors, sorted."""
+    rows = source.where("key is not null").select("row", "text").mapInArrow(_anchors, "anchor long, row long, mark long")
+    rows = rows.repartition(F.when(F.col("mark") % 4 == SETTLED, F.xxhash64("row")).otherwise(F.col("anchor"))).sortWithinPartitions("anchor")
+    table = shared_table(rows.mapInArrow(_shared, "row long, anchor long, n long"), "anchors")
+    pairs = table.where("row is null and anchor is null").agg(F.sum("n")).first()[0] or 0
+    common = table.where(F.col("row").isNull() & F.col("anchor").isNotNull() & (F.col("n") > max(HOT, pairs // FREQUENT))).select("anchor")
     common = np.sort(common.toArrow().column(0).to_numpy().astype(np.int64))  # FREQUENT at most, as each stands for a FREQUENT-th of all
-    return table, table.where("key is not null").groupBy("key").agg(F.collect_list("anchor").alias("anchors")), common
+    return table, table.where("row is not null").groupBy("row").agg(F.collect_set("anchor").alias("anchors")), common
 
 
 _PASSAGE = "block long, key long, row long, at int, words binary, n int, source long, source_at int"
@@ -200,7 +201,7 @@ def _passages(common):
             keys, rows = (batch.column(i).to_pylist() for i in range(2))
             at = 0
             while at < batch.num_rows:
-                texts: dict[bytes, list] = {}  # by words: block and places (key, row, first word)
+                texts: dict[bytes, tuple] = {}  # by words: block and the places (key, row, first word), each once
                 size = 0
                 while at < batch.num_rows and size < PASSAGES_AT_ONCE:
                     words = (batch.column(2)[at].as_py() or b"").split()
@@ -215,9 +216,9 @@ def _passages(common):
                             text = b" ".join(words[j : j + k])
                             place = (keys[at], rows[at], j)
                             if text in texts:
-                                texts[text][1].append(place)
+                                texts[text][1][place] = None
                             else:
-                                texts[text] = [_window_block(text) if one else b, [place]]
+                                texts[text] = (_window_block(text) if one else b, {place: None})
                         size += m if one else 1
                     at += 1
                 out: list[tuple] = []
@@ -313,7 +314,7 @@ def factored(source: DataFrame) -> DataFrame:
     """(key, row, text) -> a shared table of the factors of every document: key, row, at, n, source, source_at."""
     table, wanted, common = shared_anchors(source)
     hot = source.sparkSession.sparkContext.broadcast(common)  # 32 MB at most
-    found = source.join(wanted, "key").select("key", "row", "text", "anchors").mapInArrow(_passages(hot), _PASSAGE)
+    found = source.where("key is not null").join(wanted, "row").select("key", "row", "text", "anchors").mapInArrow(_passages(hot), _PASSAGE)
     found = found.repartition("block").sortWithinPartitions("block", "key").mapInArrow(_factors, _FACTOR)
     out = shared_table(found, "factors")
     drop_table(table)
@@ -349,10 +350,10 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     kinds = (LongType(), LongType(), ArrayType(span), StringType())
     want = StructType([*docs.schema.fields, *(StructField(n, k) for n, k in zip(added, kinds, strict=True))])
     column, n = docs.columns.index(text), len(docs.columns)
-    row_of = F.xxhash64(F.col(text))
+    row_of = F.xxhash64(F.col(key), F.col(text))
     factors = factored(docs.select(F.col(key).cast("long").alias("key"), row_of.alias("row"), F.col(text).cast("binary").alias("text")))
     k, r, f = free_names(docs.columns, "__key", "__row", "__factors")
-    found = factors.groupBy(F.col("key").alias(k), F.col("row").alias(r)).agg(F.collect_list(F.struct("at", "n", "source", "source_at")).alias(f))
+    found = factors.groupBy(F.col("key").alias(k), F.col("row").alias(r)).agg(F.collect_set(F.struct("at", "n", "source", "source_at")).alias(f))
 
     @tidied
     def run(batches):

@@ -217,21 +217,21 @@ def in_process(rows, batch=3, rng=None):
         made = list(made)
         return pa.Table.from_batches(made) if made else like
 
-    docs = pa.table({"key": pa.array([r[0] for r in rows], pa.int64()), "text": pa.array([r[2].encode() for r in rows])})
+    docs = pa.table({"row": pa.array([r[1] for r in rows], pa.int64()), "text": pa.array([r[2].encode() for r in rows])})
     found = table(substrings._anchors(batches(docs, batch)))
     if found is None:
         return []
     shared = table(substrings._shared(batches(found.sort_by("anchor"), rng.randint(1, 9)))).to_pylist()
     wanted = {}
     for r in shared:
-        if r["key"] is not None:
-            wanted.setdefault(r["key"], []).append(r["anchor"])
+        if r["row"] is not None:
+            wanted.setdefault(r["row"], []).append(r["anchor"])
     pairs = sum(r["n"] for r in shared if r["anchor"] is None)
-    common = np.sort(np.array([r["anchor"] for r in shared if r["key"] is None and r["anchor"] is not None and r["n"] > max(substrings.HOT, pairs // substrings.FREQUENT)], np.int64))
-    asking = [r for r in rows if r[0] in wanted]
+    common = np.sort(np.array([r["anchor"] for r in shared if r["row"] is None and r["anchor"] is not None and r["n"] > max(substrings.HOT, pairs // substrings.FREQUENT)], np.int64))
+    asking = [r for r in rows if r[1] in wanted]
     if not asking:
         return []
-    asking = pa.table({"key": pa.array([r[0] for r in asking], pa.int64()), "row": pa.array([r[1] for r in asking], pa.int64()), "text": pa.array([r[2].encode() for r in asking]), "anchors": pa.array([wanted[r[0]] for r in asking], pa.list_(pa.int64()))})
+    asking = pa.table({"key": pa.array([r[0] for r in asking], pa.int64()), "row": pa.array([r[1] for r in asking], pa.int64()), "text": pa.array([r[2].encode() for r in asking]), "anchors": pa.array([wanted[r[1]] for r in asking], pa.list_(pa.int64()))})
     around = table(substrings._passages(mock.Mock(value=common))(batches(asking, batch)))
     if around is None:
         return []
@@ -270,6 +270,7 @@ def test_factors_do_not_trust_hashes(monkeypatch, hashes, hot, batch):
         lines = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(8, 40))) for _ in range(6)]
         texts = [" ".join(rng.choice([*lines, rng.choice(vocabulary)]) for _ in range(rng.randint(0, 6))) for _ in range(25)] + ["a " * 200 + "a", "a " * 90 + "b"]
         rows = [(rng.randint(0, 20), k, t.strip()) for k, t in enumerate(texts)]
+        rows += rows[:4]  # equal rows
         found = in_process(rows, batch, rng)
         assert removed(rows, found) == brute_removed([(i, t) for i, _, t in rows])
         by_row = {(i, k): t.split(" ") for i, k, t in rows}
