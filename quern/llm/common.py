@@ -75,7 +75,8 @@ def free_names(columns: list[str], *wanted: str) -> list[str]:
 def _with_least(edges: DataFrame, low: DataFrame) -> DataFrame:
     """``edges`` (u, v) joined with ``low`` (u, m): a hub's edges are dealt to ``SALTS`` tasks, each with its row of ``low``."""
     salted = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
-    return salted.join(low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["u", "salt"])
+    each = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(each.hint("merge"), ["u", "salt"])  # never broadcast: ``low`` grows with the links
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
