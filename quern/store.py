@@ -310,38 +310,22 @@ class Store:
             return t.df.where("false")
         if unknown := [c for c in rows.columns if c not in t.df.columns]:
             raise ValueError(f"table {name} has no column named {unknown[0]}")
-        full = self._full(t, rows)
+        full, old, gone, error = self._full(t, rows), t.df, None, None
         if conflict in ("ignore", "replace", "fail"):
             full = shared_table(full.withColumn("__n", F.monotonically_increasing_id()), "rows")  # settles the order that decides
-            for key in t.keys():
-                nth = F.row_number().over(Window.partitionBy(*key, F.when(~_all_set(key), F.col("__n"))).orderBy(F.col("__n").desc() if conflict == "replace" else F.col("__n")))
-                full = full.withColumn("__nth", nth)
-                full = full.withColumn("__again", F.coalesce(F.col("__again"), F.lit(False)) | (F.col("__nth") > 1)) if conflict == "fail" and "__again" in full.columns else full.withColumn("__again", F.col("__nth") > 1) if conflict == "fail" else full.where("__nth = 1")
-                full = full.drop("__nth")
-        old, gone, error = t.df, None, None
-        if conflict == "replace" and t.keys():
-            hits = [old.join(full.where(_all_set(k)).select(*k).distinct().withColumn("__hit", F.lit(True)), list(k), "left").select(*old.columns, F.col("__hit").isNotNull().alias("__hit")) for k in t.keys()[:1]]
-            marked = hits[0]
-            for k in t.keys()[1:]:
-                new = full.where(_all_set(k)).select(*k).distinct().withColumn("__also", F.lit(True))
-                marked = marked.join(new, list(k), "left").select(*old.columns, (F.col("__hit") | F.col("__also").isNotNull()).alias("__hit"))
-            gone, old = marked.where("__hit").drop("__hit"), marked.where("not __hit").drop("__hit")
-        elif conflict in ("ignore", "fail"):
-            bad = ~self._row_good(t)
-            if conflict == "fail" and t.keys():
-                bad = bad | F.col("__again")
-            marked = full.withColumn("__bad", bad)
-            for k in t.keys():
-                known = old.where(_all_set(k)).select(*k).distinct().withColumn("__known", F.lit(True))
-                marked = marked.join(known, list(k), "left").withColumn("__bad", F.col("__bad") | F.col("__known").isNotNull()).drop("__known")
-            if conflict == "ignore":
-                full = marked.where("not __bad")
+            full = self._again(full, t, last=conflict == "replace")
+            if conflict == "replace":
+                full = full.where("not __again")
+                old, gone = self._parted(t, full)
             else:
-                first = marked.where("__bad").agg(F.min("__n")).first()[0]
-                if first is not None:
-                    error = ConstraintError(f"constraint failed: {name}")
-                    full = marked.where(F.col("__n") < first)
-        full = full.select(*t.df.columns)
+                full = self._marked_bad(t, full)
+                if conflict == "ignore":
+                    full = full.where("not __bad")
+                else:
+                    first = full.where("__bad").agg(F.min("__n")).first()[0]
+                    if first is not None:
+                        error, full = ConstraintError(f"constraint failed: {name}"), full.where(F.col("__n") < first)
+            full = full.select(*t.df.columns)
         with self._statement(conflict):
             changes = full.select(F.lit(None).alias("old"), F.struct(*t.df.columns).alias("new"))
             self._fire("before", "insert", name, changes)
@@ -355,6 +339,35 @@ class Store:
             raise error
         return full
 
+    @staticmethod
+    def _again(full: DataFrame, t: Table, last: bool) -> DataFrame:
+        """New rows, in order of ``__n``, with ``__again``: another one with a key of theirs counts, the first or the ``last``."""
+        again = F.lit(False)
+        for key in t.keys():
+            order = F.col("__n").desc() if last else F.col("__n")
+            nth = F.row_number().over(Window.partitionBy(*key, F.when(~_all_set(key), F.col("__n"))).orderBy(order))
+            again = again | (nth > 1)
+        return full.withColumn("__again", again)
+
+    @staticmethod
+    def _parted(t: Table, full: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        """The table's rows with no key of the new rows, and those with one."""
+        if not t.keys():
+            return t.df, None
+        marked = t.df.withColumn("__hit", F.lit(False))
+        for key in t.keys():
+            new = full.where(_all_set(key)).select(*key).distinct().withColumn("__also", F.lit(True))
+            marked = marked.join(new, list(key), "left").select(*t.df.columns, (F.col("__hit") | F.col("__also").isNotNull()).alias("__hit"))
+        return marked.where("not __hit").drop("__hit"), marked.where("__hit").drop("__hit")
+
+    def _marked_bad(self, t: Table, full: DataFrame) -> DataFrame:
+        """New rows with ``__bad``: they break a row constraint, or a row of the table or before them has a key of theirs."""
+        full = full.withColumn("__bad", ~self._row_good(t) | F.col("__again"))
+        for key in t.keys():
+            known = t.df.where(_all_set(key)).select(*key).distinct().withColumn("__known", F.lit(True))
+            full = full.join(known, list(key), "left").withColumn("__bad", F.col("__bad") | F.col("__known").isNotNull()).drop("__known")
+        return full
+
     def upsert(self, name: str, rows: DataFrame, keys: list[str], update: dict[str, str] | None = None, where: str | None = None) -> DataFrame:
         """ON CONFLICT (keys): nothing without ``update``, else its columns set (``excluded.c`` is the new row's) where ``where`` holds.
 
