@@ -117,6 +117,33 @@ def test_fulltext_and_boxes(spark):
     assert boxes.overlap_join(b.where("false"), {"x": 1.0, "y": 0.5}).count() == 0
 
 
+def _touching(rows):
+    return sorted((p[0], q[0]) for p in rows for q in rows if p[0] < q[0] and p[1] <= q[2] and p[2] >= q[1] and p[3] <= q[4] and p[4] >= q[3])
+
+
+def test_boxes_of_crowded_cells_are_dealt_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(boxes, "BLOCK", 16, raising=False)
+    monkeypatch.setattr(boxes, "PAIRS", 1000, raising=False)
+    rng = random.Random(3)
+    rows = [(i, 1.0, 4.0, 1.0, 3.0) for i in range(300)]  # copies in one cell
+    for i in range(300, 480):  # two crowded levels and their borders
+        x, y, w = rng.uniform(-4, 8), rng.uniform(-4, 8), rng.choice([0.5, 4.0, 7.0])
+        rows.append((i, x, x + w, y, y + w))
+    df = spark.createDataFrame(rows, "id int, x0 double, x1 double, y0 double, y1 double").repartition(3)
+    got = [tuple(r) for r in boxes.overlap_join(df, {"x": 4.0, "y": 4.0}).withColumn("p", F.spark_partition_id()).collect()]
+    assert sorted(r[:2] for r in got) == _touching(rows)
+    of = [r[2] for r in got]
+    assert max(map(of.count, set(of))) < len(got) / 10
+    monkeypatch.setattr(boxes, "LISTED", 0, raising=False)
+    assert sorted(tuple(r) for r in boxes.overlap_join(df, {"x": 4.0, "y": 4.0}).collect()) == _touching(rows)
+
+
+def test_boxes_whose_width_is_rounded_and_ids_that_repeat(spark):
+    rows = [(1, 3.9999999999999996, 8.0, 0.0, 1.0), (2, 5.0, 6.0, 0.0, 1.0), (3, 5.0, 9.0, 0.0, 1.0), (3, 0.0, 90.0, 0.0, 1.0)]
+    df = spark.createDataFrame(rows, "id int, x0 double, x1 double, y0 double, y1 double")
+    assert sorted(tuple(r) for r in boxes.overlap_join(df, {"x": 4.0, "y": 4.0}).collect()) == _touching(rows)
+
+
 def test_store(spark):
     s = Store(spark)
     s.create("p", spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), primary=("k",))
